@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality
+from . import decontaminate, mixing, neardup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(_table(spark, sf_dir, "documents"))
 
 
+def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.cube_mix(_table(spark, sf_dir, "documents"))
 
@@ -23,5 +27,5 @@ def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.winnow_overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op7_cube_mix, op8_winnow)}
-ORACLE_SQL = {"op8_winnow": decontaminate.OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op4_setsketch, op7_cube_mix, op8_winnow)}
+ORACLE_SQL = {"op4_setsketch": neardup.OP4_SQL, "op8_winnow": decontaminate.OP8_SQL}
