@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality
+from . import decontaminate, lines, mixing, neardup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.cube_mix(_table(spark, sf_dir, "documents"))
 
@@ -27,5 +33,5 @@ def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.winnow_overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op4_setsketch, op7_cube_mix, op8_winnow)}
-ORACLE_SQL = {"op4_setsketch": neardup.OP4_SQL, "op8_winnow": decontaminate.OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op4_setsketch, op5_line_dedup, op7_cube_mix, op8_winnow)}
+ORACLE_SQL = {"op4_setsketch": neardup.OP4_SQL, "op5_line_dedup": lines.OP5_SQL, "op8_winnow": decontaminate.OP8_SQL}
