@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, neardup, quality
+from . import decontaminate, language, lines, mixing, neardup, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.cube_mix(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,9 @@ def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.winnow_overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op4_setsketch, op5_line_dedup, op7_cube_mix, op8_winnow)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op4_setsketch, op5_line_dedup, op6_language, op7_cube_mix, op8_winnow, op9_toxicity)}
 ORACLE_SQL = {"op4_setsketch": neardup.OP4_SQL, "op5_line_dedup": lines.OP5_SQL, "op8_winnow": decontaminate.OP8_SQL}
