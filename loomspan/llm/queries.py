@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, mixing, neardup, quality, toxicity
+from . import decontaminate, language, lines, mixing, neardup, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,5 +40,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op4_setsketch, op5_line_dedup, op6_language, op7_cube_mix, op8_winnow, op9_toxicity)}
+#: The key of the registered query; a user of the operator passes one of their own.
+PII_KEY = "loomspan-demo-key"
+
+
+def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op4_setsketch, op5_line_dedup, op6_language, op7_cube_mix, op8_winnow, op9_toxicity, op10_feistel)}
 ORACLE_SQL = {"op4_setsketch": neardup.OP4_SQL, "op5_line_dedup": lines.OP5_SQL, "op8_winnow": decontaminate.OP8_SQL}
