@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Lower-cases A-Z and leaves every other byte.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -38,6 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the query that has just ended
     out = spark.read.schema(df.schema).parquet(path)
     out._loomspan_path = path
     return out
@@ -95,7 +97,7 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 def texts_map(df: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
     """mapInArrow over the named columns. work(batch) returns a dict of columns, in the order of the schema."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    names = T.StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

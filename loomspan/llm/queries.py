@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, mixing, neardup, pii, quality, toxicity
+from . import decontaminate, language, licenses, lines, mixing, neardup, pii, quality, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(_table(spark, sf_dir, "documents"))
 
 
+def op2_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -48,5 +56,5 @@ def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op4_setsketch, op5_line_dedup, op6_language, op7_cube_mix, op8_winnow, op9_toxicity, op10_feistel)}
-ORACLE_SQL = {"op4_setsketch": neardup.OP4_SQL, "op5_line_dedup": lines.OP5_SQL, "op8_winnow": decontaminate.OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_redirects, op3_licenses, op4_setsketch, op5_line_dedup, op6_language, op7_cube_mix, op8_winnow, op9_toxicity, op10_feistel)}
+ORACLE_SQL = {"op2_redirects": urls.OP2_SQL, "op4_setsketch": neardup.OP4_SQL, "op5_line_dedup": lines.OP5_SQL, "op8_winnow": decontaminate.OP8_SQL}
