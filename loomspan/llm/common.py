@@ -20,6 +20,9 @@ ALNUM = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in
 #: Words of a text as a regular expression that Spark and DuckDB both read.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bits of a filter on ids, 128 KiB at any size of the data.
+FILTER_BITS = 1 << 20
+
 _CACHE_WORDS = 400_000
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -38,8 +41,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of queries that have ended
     df.write.parquet(path)
-    spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the query that has just ended
     out = spark.read.schema(df.schema).parquet(path)
     out._loomspan_path = path
     return out
@@ -52,6 +55,21 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def longs(values: list[int]) -> str:
+    """An array of a bounded number of values, folded to a constant when the query is planned."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)"
+
+
+def bucket_filter(ids: DataFrame, columns: str, bits: int) -> str:
+    """Condition that holds for every row whose columns are among those of ids, by a bit for each hash; bits / 8 bytes at any size."""
+    at = f"pmod(xxhash64({columns}), {bits})"
+    rows = ids.selectExpr(f"{at} as _h").groupBy(F.expr("_h div 64").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_h % 64 as int)))").alias("_b")).collect()
+    words = [0] * (bits // 64)
+    for r in rows:
+        words[r._w] = r._b
+    return f"getbit(get({longs(words)}, cast({at} div 64 as int)), cast({at} % 64 as int)) = 1"
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
@@ -146,3 +164,11 @@ def held_out(doc_id: str = "doc_id"):
 
 def flat(lists: list[list]) -> list:
     return list(chain.from_iterable(lists))
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """docs without the rows whose id is in the one column of gone; only rows that may go are shuffled. Rows without an id stay."""
+    gone = gone.toDF("_gone").where("_gone is not null").distinct()
+    name = "`" + id_col.replace("`", "``") + "`"
+    maybe = F.coalesce(F.expr(bucket_filter(gone, "_gone", bits).replace("_gone", name)), F.lit(False))
+    return docs.where(~maybe).union(docs.where(maybe).join(gone, docs[id_col] == gone["_gone"], "left_anti"))

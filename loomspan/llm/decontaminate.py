@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, WordHashes, as_bytes, grams, mix, stored, texts_map
+from .common import ALNUM, WordHashes, as_bytes, grams, mix, stored, texts_map, without
 
 SPAN = 10
 GRAM = 6
@@ -127,6 +127,18 @@ def digest(ids) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("binary").alias("words"))
+
+
+def index_of(benchmark: DataFrame, item_col: str, item_text: str, broadcast_bytes: int):
+    """The items' index, broadcast; None if their text is larger than the bound."""
+    items = _items(benchmark, item_col, item_text)
+    if (items.agg(F.sum(F.length("words"))).first()[0] or 0) > broadcast_bytes:
+        return None
+    return benchmark.sparkSession.sparkContext.broadcast(Index([(r.item, bytes(r.words or b"")) for r in items.collect()]))
+
+
 def winnow_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -135,11 +147,11 @@ def winnow_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     empty. A benchmark of up to broadcast_bytes of text is indexed once and broadcast, so documents aren't shuffled;
     a larger one is joined by fingerprint, with the same results.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("binary").alias("words"))
+    items = _items(benchmark, item_col, item_text)
     kind = docs.schema[id_col].dataType.simpleString()
-    if (items.agg(F.sum(F.length("words"))).first()[0] or 0) > broadcast_bytes:
+    held = index_of(benchmark, item_col, item_text, broadcast_bytes)
+    if held is None:
         return _joined(docs, items, id_col, text_col)
-    held = docs.sparkSession.sparkContext.broadcast(Index([(r.item, bytes(r.words or b"")) for r in items.collect()]))
     none = digest(())
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -240,10 +252,23 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Da
     )
 
 
-def clean_of_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones, all columns kept."""
-    bad = winnow_overlap(docs, benchmark, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def clean_of_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without the rows that hold a benchmark window; all columns kept. With a broadcast index nothing is shuffled."""
+    index = index_of(benchmark, "item_id", "text", broadcast_bytes)
+    if index is None:
+        found = stored(winnow_overlap(docs, benchmark, id_col, text_col, broadcast_bytes=broadcast_bytes), "overlaps")
+        return without(docs, id_col, found.where("contaminated").select(id_col))
+
+    def work(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            clean = []
+            for text in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist():
+                words = words_of(text)
+                clean.append(not index.value.hits(words, hashes.of(words))[0])
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 #: DuckDB SQL of the op8 query.

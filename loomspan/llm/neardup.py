@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, as_bytes, in_slices, mix, runs, shingle_set, stored, texts_map
+from .common import LOWER, WordHashes, as_bytes, in_slices, mix, runs, shingle_set, stored, texts_map, without
 from .graph import connected_components
 
 REGISTERS = 252
@@ -247,8 +247,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
 
 def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that have a near-duplicate of a smaller id; all columns kept."""
-    gone = near_duplicates(docs, percent, words, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    found = stored(near_duplicates(docs, percent, words, id_col, text_col), "near-duplicates")
+    return without(docs, id_col, found.where("not kept").select(id_col))
 
 
 #: DuckDB SQL of the op4 query.
