@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import dedup_queries
+
+_PARTS = (dedup_queries,)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
 FLAGSHIP = "duplicate_leaders"
