@@ -14,9 +14,9 @@ query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
 
 
-def _millis():
-    """Milliseconds since 1970, whatever the session's zone."""
-    return F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+def _micros():
+    """Microseconds since 1970, whatever the session's zone."""
+    return F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -74,26 +74,26 @@ def locator_drift_latch(spark, sf_dir):
 
 
 @query(
-    """with recursive o as (select user_id, event_id, epoch_ms(ts) / 1000.0 as at, event_type = 'error' as t, value as w, row_number() over (partition by user_id order by event_id) as i from events),
+    """with recursive o as (select user_id, event_id, epoch_us(ts) / 1000000.0 as at, event_type = 'error' as t, value as w, row_number() over (partition by user_id order by event_id) as i from events),
 f as (select user_id, 0::bigint as i, null::bigint as event_id, 0.0::double as b, '-infinity'::double as r from (select distinct user_id from o)
  union all select o.user_id, o.i, o.event_id, k.b, case when o.t then greatest(f.r, o.at + greatest(k.b, o.w)) else f.r end from f join o on o.user_id = f.user_id and o.i = f.i + 1,
  lateral (select (case when o.t then case when f.b = 0 then 5.0 else least(120.0, f.b * 2) end when o.at >= f.r then 0.0 else f.b end)::double as b) k)
 select event_id, b as backoff, round(coalesce(case when r > -1e300 then r end, 0), 3) as ready_at from f where i > 0"""
 )
 def throttle_backoff(spark, sf_dir):
-    e = _events(spark, sf_dir).withColumn("at", _millis() / 1000.0)
+    e = _events(spark, sf_dir).withColumn("at", _micros() / 1000000.0)
     out = S.throttle_backoff(e, "user_id", "event_id", "at", F.col("event_type") == "error", F.col("value"))
     return out.select("event_id", "backoff", F.round(F.when(F.col("ready_at") > -1e300, F.col("ready_at")).otherwise(0.0), 3).alias("ready_at"))
 
 
 @query(
-    """with recursive o as (select user_id, event_id, epoch_ms(ts) / 1000.0 as at, row_number() over (partition by user_id order by event_id) as i from events),
+    """with recursive o as (select user_id, event_id, epoch_us(ts) / 1000000.0 as at, row_number() over (partition by user_id order by event_id) as i from events),
 f as (select user_id, 0::bigint as i, null::bigint as event_id, null::double as t, '-infinity'::double as free from (select distinct user_id from o)
  union all select o.user_id, o.i, o.event_id, greatest(f.free, o.at), greatest(f.free, o.at) + 7200 + (o.event_id % 3) from f join o on o.user_id = f.user_id and o.i = f.i + 1)
 select event_id, round(t, 3) as starts_at from f where i > 0"""
 )
 def polite_schedule(spark, sf_dir):
-    e = _events(spark, sf_dir).withColumn("at", _millis() / 1000.0)
+    e = _events(spark, sf_dir).withColumn("at", _micros() / 1000000.0)
     return S.polite_schedule(e, "user_id", "event_id", "at", 7200 + F.col("event_id") % 3).select("event_id", F.round("starts_at", 3).alias("starts_at"))
 
 
@@ -119,7 +119,7 @@ def spend_receipt(spark, sf_dir):
 
 
 def _items(e: DataFrame) -> DataFrame:
-    at = F.floor(_millis() / 1000)
+    at = F.floor(_micros() / 1000000)
     return e.select("event_id", F.when(F.col("event_type") == "purchase", "acknowledged").otherwise("pending").alias("state"), (F.col("event_id") % 6).cast("int").alias("attempts"), F.when(F.col("event_id") % 4 != 0, at).alias("next_attempt"), F.when(F.col("event_type") == "view", at + 3600).alias("lease_until"))
 
 
@@ -128,7 +128,7 @@ n as (select max(epoch(ts)::bigint) - 864000 as now from events)"""
 
 
 def _now(e: DataFrame):
-    return F.lit(e.agg(F.max(F.floor(_millis() / 1000)) - 864000).first()[0])
+    return F.lit(e.agg(F.max(F.floor(_micros() / 1000000)) - 864000).first()[0])
 
 
 @query(
