@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,13 +71,16 @@ def union_spans(spans: list[tuple[float, int, int]], length: int, most: int, roo
 
 def scored_spans(spans: DataFrame, doc: str, start: str, end: str, score: str, length: str, most: int, room: int, padding: int) -> DataFrame:
     """doc, start, end, omitted (reasons): the greedy union of each document's scored spans, whose number the windows bound."""
-    kind = dict(spans.dtypes)[doc]
+    kind = spans.schema[doc].dataType.simpleString()
+    lists = spans.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(score).cast("double").alias("s"), F.col(start).cast("bigint").alias("a"), F.col(end).cast("bigint").alias("b")))).alias("_s"), F.max(length).cast("bigint").alias("_n"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        got, why = union_spans(list(zip(pdf[score], pdf[start], pdf[end])), int(pdf[length].iloc[0]), most, room, padding)
-        return pd.DataFrame({"doc": [pdf[doc].iloc[0]] * len(got), "start": [a for a, _ in got], "end": [b for _, b in got], "omitted": [why] * len(got)})
+    def fold(batches):
+        for batch in batches:
+            got = [union_spans([(x["s"], x["a"], x["b"]) for x in s], n, most, room, padding) for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            spans_ = pa.array([[{"start": a, "end": b} for a, b in w] for w, _ in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans_, pa.array([r for _, r in got], pa.list_(pa.string()))], names=["doc", "_w", "omitted"])
 
-    return spans.select(doc, start, end, score, length).groupBy(doc).applyInPandas(fold, f"doc {kind}, start long, end long, omitted array<string>")
+    return lists.mapInArrow(fold, f"doc {kind}, _w array<struct<start:bigint,end:bigint>>, omitted array<string>").select("doc", F.explode("_w").alias("_x"), "omitted").select("doc", "_x.start", "_x.end", "omitted")
 
 
 def link_scores(links: DataFrame, keyword: Column, cosine_col: Column, weight: float) -> DataFrame:

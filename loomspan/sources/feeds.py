@@ -1,0 +1,228 @@
+"""Feeds and JSON interfaces as tables of entries: RSS, Atom, sitemaps, JSON Feed, and mappings of other JSON."""
+
+from __future__ import annotations
+
+import json
+import re
+from html.parser import HTMLParser
+from urllib.parse import quote
+from xml.etree import ElementTree as ET
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.urls import joined
+
+_ATOM, _SITE, _BASE = "{http://www.w3.org/2005/Atom}", "{http://www.sitemaps.org/schemas/sitemap/0.9}", "{http://www.w3.org/XML/1998/namespace}base"
+_UNSAFE = re.compile(rb"<!(?:DOCTYPE|ENTITY)", re.I)
+
+
+class _Plain(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.skip = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style") and self.skip > 0
+
+    def handle_data(self, data):
+        if not self.skip and data.strip():
+            self.out.append(data.strip())
+
+
+def plain_text(html: str) -> str:
+    p = _Plain()
+    p.feed(html)
+    p.close()
+    return " ".join(p.out)
+
+
+def _child(e, *names) -> str | None:
+    for n in names:
+        got = e.find(n)
+        if got is not None and (got.text or "").strip():
+            return got.text.strip()
+    return None
+
+
+def _atom_text(e) -> str | None:
+    if e is None:
+        return None
+    kind = e.get("type", "text")
+    if kind == "xhtml":
+        return " ".join(" ".join(x.strip() for x in e.itertext() if x.strip()).split())
+    return plain_text(e.text or "") if kind == "html" else (e.text or "").strip()
+
+
+def _based(e, base: str) -> str:
+    own = e.get(_BASE)
+    return (joined(base, own) or base) if own else base
+
+
+def entries(raw: bytes, base: str, most: int = 1000, deepest: int = 64) -> tuple[str, list[dict], int]:
+    """(dialect, entries, how many were left out). Refuses documents that declare types or entities."""
+    head = raw.lstrip()[:1]
+    if head in (b"{", b"["):
+        return _json_feed(raw, base, most)
+    if _UNSAFE.search(raw):
+        raise ValueError("declarations are refused")
+    root = ET.fromstring(raw)
+    depth, level = 0, [root]
+    while level:
+        depth, level = depth + 1, [c for e in level for c in e]
+        if depth > deepest:
+            raise ValueError("nested too deep")
+    base = _based(root, base)
+    out = []
+    if root.tag == "rss":
+        kind = "rss"
+        for channel in root.iterfind("channel"):
+            at = _based(channel, base)
+            for item in channel.iterfind("item"):
+                here, guid = _based(item, at), item.find("guid")
+                link = _child(item, "link")
+                if not link and guid is not None and guid.get("isPermaLink", "true") != "false":
+                    link = (guid.text or "").strip()
+                enclosure = item.find("enclosure")
+                urls = [link, enclosure.get("url") if enclosure is not None else None]
+                out.append({"id": (guid.text or "").strip() if guid is not None else link, "title": _child(item, "title"), "published": _child(item, "pubDate"), "text": plain_text(_child(item, "description") or ""), "urls": [u for u in (joined(here, x) for x in urls if x) if u]})
+    elif root.tag == f"{_ATOM}feed":
+        kind = "atom"
+        for item in root.iterfind(f"{_ATOM}entry"):
+            here = _based(item, base)
+            urls = []
+            for v in item.iterfind(f"{_ATOM}link"):
+                if v.get("rel", "alternate") in ("alternate", "enclosure") and v.get("href"):
+                    urls.append(joined(_based(v, here), v.get("href")))
+            body = item.find(f"{_ATOM}content")
+            out.append({"id": _child(item, f"{_ATOM}id"), "title": _atom_text(item.find(f"{_ATOM}title")), "published": _child(item, f"{_ATOM}published", f"{_ATOM}updated"), "text": _atom_text(body if body is not None else item.find(f"{_ATOM}summary")) or "", "urls": [u for u in urls if u]})
+    elif root.tag in (f"{_SITE}urlset", f"{_SITE}sitemapindex"):
+        kind = "sitemap" if root.tag.endswith("urlset") else "sitemap_index"
+        for item in root:
+            loc = _child(item, f"{_SITE}loc")
+            to = joined(base, loc) if loc else None
+            out.append({"id": loc, "title": None, "published": _child(item, f"{_SITE}lastmod"), "text": "", "urls": [to] if to else []})
+    else:
+        raise ValueError("no known feed")
+    return kind, out[:most], max(0, len(out) - most)
+
+
+def _no_repeats(pairs):
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("a key is repeated")
+    return out
+
+
+def _json_feed(raw: bytes, base: str, most: int):
+    doc = json.loads(raw, object_pairs_hook=_no_repeats)
+    if not isinstance(doc, dict) or "jsonfeed.org" not in str(doc.get("version", "")):
+        raise ValueError("no known feed")
+    out = []
+    for item in doc.get("items", []):
+        urls = [item.get("url"), item.get("external_url"), *(a.get("url") for a in item.get("attachments", []))]
+        text = item.get("content_text") or plain_text(item.get("content_html") or "") or item.get("summary") or ""
+        out.append({"id": str(item["id"]) if "id" in item else None, "title": item.get("title"), "published": item.get("date_published"), "text": text, "urls": [u for u in (joined(base, x) for x in urls if x) if u]})
+    return "json_feed", out[:most], max(0, len(out) - most)
+
+
+def _table(rows: DataFrame, key: str, columns: list[str], work, schema: str, types: list) -> DataFrame:
+    kind = rows.schema[key].dataType.simpleString()
+    names = [x.split()[0] for x in re.split(r", (?![^<]*>)", schema)]
+
+    def run(batches):
+        for batch in batches:
+            out = [(k, *r) for k, *values in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))) for r in work(*values)]
+            cols = list(zip(*out)) if out else [()] * (len(names) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.schema.field(0).type, *types))], names=[key, *names])
+
+    return rows.select(key, *columns).mapInArrow(run, f"{key} {kind}, {schema}")
+
+
+def feed_entries(feeds: DataFrame, key: str, raw: str, base: str, most: int = 1000) -> DataFrame:
+    """key, ordinal, dialect, id, title, published, text, urls, omitted, error: a row for each entry; a refused feed is one row with its error."""
+
+    def work(body, url):
+        try:
+            kind, found, left = entries(bytes(body or b""), url or "", most)
+        except (ValueError, ET.ParseError, TypeError, AttributeError, KeyError) as e:
+            return [(None, None, None, None, None, None, None, None, type(e).__name__ if not str(e) else str(e)[:200])]
+        return [(i, kind, e["id"], e["title"], e["published"], e["text"], e["urls"], left, None) for i, e in enumerate(found)]
+
+    s = pa.string()
+    return _table(feeds, key, [raw, base], work, "ordinal long, dialect string, id string, title string, published string, text string, urls array<string>, omitted long, error string", [pa.int64(), s, s, s, s, s, pa.list_(s), pa.int64(), s])
+
+
+def feed_documents(found: DataFrame, key: str, most_links: int) -> DataFrame:
+    """key, text (entries in order), links (first title of each url wins), omitted_links."""
+    ok = found.where("error is null")
+    text = ok.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", F.concat_ws("\n", "title", F.when(F.col("text") != "", F.col("text"))).alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
+    urls = ok.select(key, "ordinal", "title", F.posexplode("urls").alias("at", "url"))
+    first = urls.groupBy(key, "url").agg(F.min(F.struct("ordinal", "at", "title")).alias("f"))
+    ranked = first.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("f.ordinal", "f.at")))
+    links = ranked.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("_r") <= most_links, F.struct("_r", "url", F.col("f.title").alias("title"))))), lambda x: F.struct(x["url"].alias("url"), x["title"].alias("title"))).alias("links"), F.greatest(F.lit(0), F.count("*") - most_links).alias("omitted_links"))
+    return text.join(links, key, "left")
+
+
+def walk(value, path: list):
+    for p in path:
+        value = value[p]
+    return value
+
+
+def as_text(value) -> str | None:
+    if isinstance(value, bool) or value is None:
+        return None
+    if isinstance(value, (str, int)):
+        return str(value)
+    if isinstance(value, list) and value and all(isinstance(x, str) for x in value):
+        return " ".join(value)
+    return None
+
+
+def pointer(path: list) -> str:
+    return "".join("/" + str(p).replace("~", "~0").replace("/", "~1") for p in path)
+
+
+def json_entries(responses: DataFrame, key: str, raw: str, entries_path: list, url_path: list, title_path: list | None = None, url_template: str = "{value}") -> DataFrame:
+    """key, ordinal, url, title, locator, error: entries of JSON responses by a mapping of paths.
+
+    The template's one {value} is replaced by the percent-encoded text at url_path, unless it is the whole template. A response
+    that repeats a key or lacks the entries is one row with its error.
+    """
+    if url_template.count("{value}") != 1:
+        raise ValueError("a template names the value once")
+
+    def work(body):
+        try:
+            doc = json.loads(body, object_pairs_hook=_no_repeats)
+            items = walk(doc, entries_path)
+            if not isinstance(items, list):
+                raise ValueError("entries are no list")
+        except (ValueError, KeyError, IndexError, TypeError) as e:
+            return [(None, None, None, None, str(e)[:200] or type(e).__name__)]
+        out = []
+        for i, item in enumerate(items):
+            try:
+                value = as_text(walk(item, url_path))
+                title = as_text(walk(item, title_path)) if title_path is not None else None
+            except (KeyError, IndexError, TypeError):
+                continue
+            if value:
+                out.append((i, value if url_template == "{value}" else url_template.replace("{value}", quote(value, safe="")), title, pointer([*entries_path, i]), None))
+        return out
+
+    s = pa.string()
+    return _table(responses, key, [raw], work, "ordinal long, url string, title string, locator string, error string", [pa.int64(), s, s, s, s])
+
+
+def search_hits(responses: DataFrame, key: str, raw: str, most: int) -> DataFrame:
+    """key, ordinal, url, title, snippet: the first results of stored search responses, {"results": [{"url", "title", "content"}]}."""
+    shape = "results array<struct<url:string,title:string,content:string>>"
+    got = responses.select(key, F.posexplode(F.slice(F.from_json(raw, shape)["results"], 1, most)).alias("ordinal", "r"))
+    return got.select(key, "ordinal", "r.url", "r.title", F.col("r.content").alias("snippet"))
