@@ -204,7 +204,7 @@ def retry_after(value: Column, now: Column) -> Column:
     """Seconds to wait by a header: digits, or a date with a zone; never negative; null if it is neither."""
     seconds = F.when(value.rlike("^[0-9]{1,9}$"), value.cast("double"))
     at = F.try_to_timestamp(F.regexp_replace(F.trim(value), "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
-    return F.coalesce(seconds, F.greatest(F.lit(0.0), (at.cast("double") - now.cast("double"))))
+    return F.coalesce(seconds, F.when(at.isNotNull(), F.greatest(F.lit(0.0), at.cast("double") - now.cast("double"))))
 
 
 def retry_schedule(first: float = 1.0, longest: float = 30.0, total: float = 180.0) -> list[float]:

@@ -94,7 +94,7 @@ class _Page(HTMLParser):
                 self.titles[t].append(data)
         if self.skip:
             return
-        self._add(data)
+        self._add(re.sub(r"\s+", " ", data))
         if self.anchor is not None:
             self.anchor[1].append(data)
 
