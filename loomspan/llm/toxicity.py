@@ -51,11 +51,11 @@ def word_features(word: str) -> tuple[str, ...]:
 class Found(dict):
     """Features of words that matter to a caller, remembered up to a bound."""
 
-    def __init__(self, keep=None):
-        self.keep = keep
+    def __init__(self, keep=None, most: int = 300_000):
+        self.keep, self.most = keep, most
 
     def __missing__(self, word: str):
-        if len(self) > 300_000:
+        if len(self) > self.most:
             self.clear()
         out = word_features(word)
         if self.keep is not None:
@@ -137,23 +137,24 @@ def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 60) -> tuple[np.n
 def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, l2: float = 0.02, rounds: int = 300) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression on soft targets, by accelerated gradient steps."""
     x = np.hstack((x, np.ones((len(x), 1), np.float32)))
-    w = y = np.zeros(x.shape[1])
-    total = weight.sum()
+    weight, target = weight.astype(np.float32), target.astype(np.float32)
+    w = y = np.zeros(x.shape[1], np.float32)
+    total = float(weight.sum())
     # A bound on the curvature by the power method.
-    u = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
+    u = np.full(x.shape[1], x.shape[1] ** -0.5, np.float32)
     for _ in range(15):
         u = x.T @ (weight * (x @ u))
         size = np.linalg.norm(u)
-        u = u / max(size, 1e-12)
-    step = 1 / (0.25 * size / total + l2)
-    reg = np.full(x.shape[1], l2 / 10)
+        u = (u / max(size, 1e-12)).astype(np.float32)
+    step = np.float32(1 / (0.25 * size / total + l2))
+    reg = np.full(x.shape[1], l2 / 10, np.float32)
     reg[-1] = 0
     t = 1.0
     for _ in range(rounds):
-        g = x.T @ (weight * (1 / (1 + np.exp(-(x @ y))) - target)) / total + reg * y
+        g = x.T @ (weight * (1 / (1 + np.exp(-(x @ y))) - target)) / np.float32(total) + reg * y
         new = y - step * g
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y = new + (t - 1) / s * (new - w)
+        y = new + np.float32((t - 1) / s) * (new - w)
         w, t = new, s
     return w
 
@@ -170,7 +171,23 @@ class Model:
             self.at = {f: i for i, f in enumerate(dict.fromkeys(names))}
             self.weights = np.full(len(self.at), 4.0)
             return
-        found = Found()
+        # Passes keep the driver small: features are counted by their hashes, those of toxic texts first, and only the
+        # names of the few that lean to the toxic side are kept.
+        found = Found(most=30_000)
+        toxic, clean = [t for t, v in zip(texts, y) if v], [t for t, v in zip(texts, y) if not v]
+        keys = lambda t: np.fromiter((xxhash.xxh3_64_intdigest(f) for f in text_features(t, found)), np.uint64)
+        seen, times = np.unique(np.concatenate([keys(t) for t in toxic]), return_counts=True)
+        seen, times = seen[times >= 3], times[times >= 3]
+        against = np.zeros(len(seen) + 1, np.int64)
+        for t in clean:
+            k = keys(t)
+            at = np.minimum(np.searchsorted(seen, k), max(0, len(seen) - 1))
+            against[np.where(seen[at] == k, at, len(seen)) if len(seen) else []] += 1
+        kept = set(seen[times / len(toxic) > 2 * against[:-1] / len(clean)].tolist())
+        lean = {f for t in toxic for f in text_features(t, found) if xxhash.xxh3_64_intdigest(f) in kept}
+        lean |= {f"w:{w}" for v in LEXICONS.values() for w in v.split()} | {f"r:{k}" for k in PATTERNS}
+        del seen, times, against, kept
+        found = Found({f: f for f in lean}, 30_000)
         sets = [text_features(t, found) for t in texts]
         post, self.voters = label_model(votes(sets, mine(sets, y)), y)
         # Features that differ most between the posterior classes.
