@@ -20,8 +20,8 @@ ALNUM = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in
 #: Words of a text as a regular expression that Spark and DuckDB both read.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Bits of a filter on ids, 128 KiB at any size of the data.
-FILTER_BITS = 1 << 20
+#: Bits of a filter on ids, 256 KiB at any size of the data.
+FILTER_BITS = 1 << 21
 
 _CACHE_WORDS = 400_000
 _GOLDEN = 0x9E3779B97F4A7C15

@@ -15,36 +15,25 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import FILTER_BITS, bucket_filter, dropped, longs, stored
 
-#: Buckets of word hashes that are counted for rarity, and bits of the filter on document ids; both bounds are fixed.
+#: Buckets of word hashes that are counted for rarity; the bound is fixed.
 RARITY_BUCKETS = 1 << 16
-FILTER_BITS = 1 << 20
 #: Lines of fewer distinct words are left alone: they agree by chance.
 LEAST_WORDS = 4
+#: Earlier lines of each word of which the likeliest is tried first. No cap: lines that fail meet all others afterwards.
+TRIED = 16
 
 #: Words of a line, lower case, split at ASCII blanks; the regular expression only where one-blank splitting is not the same.
 _WORDS = r"case when contains(_l, '  ') or startswith(_l, ' ') or endswith(_l, ' ') or contains(_l, '\t') or contains(_l, '\r') or contains(_l, '\f') or contains(_l, '\x0B') then regexp_extract_all(lower(_l), '[^\\x20\\x09-\\x0D]+', 0) else split(lower(_l), ' ') end"
 _NEED = "((4 * (a._n + b._n) + 8) div 9)"
+#: Bits that differ, of 256 if both lines are long, else of the 64 that they fold to: no more than words that differ.
+_FOLDED = "({0}._b0 | {0}._b1 | {0}._b2 | {0}._b3)"
+_APART = f"if(a._n <= 64 or b._n <= 64, bit_count({_FOLDED.format('a')} ^ {_FOLDED.format('b')}), bit_count(a._b0 ^ b._b0) + bit_count(a._b1 ^ b._b1) + bit_count(a._b2 ^ b._b2) + bit_count(a._b3 ^ b._b3))"
 _SIMILAR = f"""a._tok = b._tok and (a._doc > b._doc or (a._doc = b._doc and a._ln > b._ln))
   and 5 * least(a._n, b._n) >= 4 * greatest(a._n, b._n)
   and least(a._n - a._pos, b._n - b._pos) >= {_NEED}
-  and bit_count(a._bits ^ b._bits) <= a._n + b._n - 2 * {_NEED}"""
-
-
-def _longs(values: list[int]) -> str:
-    """An array of a bounded number of values, folded to a constant when the query is planned."""
-    return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)"
-
-
-def _bucket_filter(ids: DataFrame, column: str, bits: int) -> str:
-    """Condition that holds for every row whose column is among ids, by a bit for each hash; bits / 8 bytes at any size."""
-    at = f"pmod(xxhash64({column}), {bits})"
-    rows = ids.selectExpr(f"{at} as _h").groupBy(F.expr("_h div 64").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_h % 64 as int)))").alias("_b")).collect()
-    words = [0] * (bits // 64)
-    for r in rows:
-        words[r._w] = r._b
-    return f"getbit(get({_longs(words)}, cast({at} div 64 as int)), cast({at} % 64 as int)) = 1"
+  and {_APART} <= a._n + b._n - 2 * {_NEED}"""
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -53,8 +42,21 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _ordered(lines: DataFrame, rarity: str) -> DataFrame:
     """_t: the line's distinct words, rarest first, as class of rarity and 58 bits of the hash."""
-    word = f"shiftleft(get({rarity}, cast(pmod(xxhash64(x), {RARITY_BUCKETS}) as int)), 58) | shiftrightunsigned(xxhash64(x), 6)"
-    return lines.selectExpr("_doc", "_ln", f"array_distinct(sort_array(transform({_WORDS}, x -> {word}))) as _t")
+    word = f"shiftleft(get({rarity}, cast(pmod(h, {RARITY_BUCKETS}) as int)), 58) | shiftrightunsigned(h, 6)"
+    return lines.selectExpr("_doc", "_ln", f"array_distinct(sort_array(transform(transform({_WORDS}, x -> xxhash64(x)), h -> {word}))) as _t")
+
+
+def _text_of(own: DataFrame, lines: DataFrame, bits: int) -> DataFrame:
+    """_doc, _ln, _l of the given distinct lines; only documents that may have one are moved."""
+    wanted = lines.groupBy(F.col("_doc").alias("_wanted")).agg(F.collect_set("_ln").alias("_lns"))
+    texts = own.where(bucket_filter(lines, "_doc", bits)).join(wanted, F.col("_doc") == F.col("_wanted"))
+    return texts.selectExpr("_doc", "_lns", r"posexplode(split(_text, '\n')) as (_ln, _l)").where("array_contains(_lns, _ln)").select("_doc", "_ln", "_l").dropDuplicates(["_doc", "_ln"])
+
+
+def _overlaps(a: str, b: str) -> str:
+    """The exact test on the distinct words of two lines."""
+    x, y = (f"array_distinct({_WORDS})".replace("_l,", f"{v}._l,").replace("(_l)", f"({v}._l)") for v in (a, b))
+    return f"9 * size(array_intersect({x}, {y})) >= 4 * ({a}._n + {b}._n)"
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -65,36 +67,41 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = [0] * RARITY_BUCKETS
     for b, n in counts:
         classes[b] = min(31, int(math.log2(n + 1)))
-    rarity = _longs(classes)
 
     # Each line, its size, a digest of its set, a bit for each word, and the words of its prefix.
-    lines = _ordered(_lines(own), rarity).where(f"size(_t) >= {least_words}")
-    bits = "aggregate(_t, 0L, (m, x) -> m | shiftleft(1L, cast(x & 63 as int)))"
-    kept = stored(lines.selectExpr("_doc", "_ln", "size(_t) as _n", "xxhash64(_t) as _s1", "xxhash64(_t, 1) as _s2", f"{bits} as _bits", "slice(_t, 1, size(_t) - (4 * size(_t) + 4) div 5 + 1) as _p"), "lines")
+    bit = "m | shiftleft(1L, cast(x & 63 as int))"
+    bits = [f"if(size(_t) <= 64, {f'aggregate(_t, 0L, (m, x) -> {bit})' if j == 0 else '0L'}, aggregate(_t, 0L, (m, x) -> if((shiftright(x, 6) & 3) = {j}, {bit}, m))) as _b{j}" for j in range(4)]
+    lines = _ordered(_lines(own), longs(classes)).selectExpr("_doc", "_ln", "size(_t) as _n", "xxhash64(_t) as _s1", "xxhash64(_t, 1) as _s2", *bits, "slice(_t, 1, size(_t) - (4 * size(_t) + 4) div 5 + 1) as _p")
+    table = stored(lines, "lines")
+    kept = table.where(f"_n >= {least_words}")
 
     # Lines of the same set: the first stays for the others.
-    firsts = kept.groupBy("_s1", "_s2").agg(F.min(F.struct("_doc", "_ln")).alias("_f")).select(F.col("_s1").alias("_c1"), F.col("_s2").alias("_c2"), "_f")
-    ranked = kept.join(firsts, (F.col("_s1") == F.col("_c1")) & (F.col("_s2") == F.col("_c2")))
-    ranked = stored(ranked.selectExpr("_doc", "_ln", "_n", "_bits", "if(_doc = _f._doc and _ln = _f._ln, _p, null) as _p"), "ranked")
-    same = ranked.where("_p is null").select("_doc", "_ln")
-    words = ranked.where("_p is not null").selectExpr("_doc", "_ln", "_n", "_bits", "posexplode(_p) as (_pos, _tok)")
-
-    # Lines with an earlier (or later) line that passes all filters.
-    later = words.alias("a").join(words.alias("b"), F.expr(_SIMILAR), "left_semi")
-    earlier = words.alias("b").join(words.alias("a"), F.expr(_SIMILAR), "left_semi")
-    part = stored(later.selectExpr("_doc", "_ln", "_tok", "true as _later").union(earlier.selectExpr("_doc", "_ln", "_tok", "false as _later")), "candidates")
-
-    # Their whole sets; only documents with such lines are read in full.
-    few = _bucket_filter(part, "_doc", filter_bits)
-    wanted = part.groupBy("_doc").agg(F.collect_set("_ln").alias("_lns"))
-    texts = own.where(few).join(wanted.withColumnRenamed("_doc", "_wanted"), F.col("_doc") == F.col("_wanted")).select("_doc", "_text", "_lns")
-    asked = texts.selectExpr("_doc", "_lns", r"posexplode(split(_text, '\n')) as (_ln, _l)").where("array_contains(_lns, _ln)")
-    sets = stored(_ordered(asked, rarity).distinct(), "sets")
-    whole = part.join(sets, ["_doc", "_ln"])
-    # Equal keys and both sizes; the overlap decides.
-    exact = "a._tok = b._tok and (a._doc > b._doc or (a._doc = b._doc and a._ln > b._ln)) and 5 * least(size(a._t), size(b._t)) >= 4 * greatest(size(a._t), size(b._t)) and 9 * size(array_intersect(a._t, b._t)) >= 4 * (size(a._t) + size(b._t))"
-    similar = whole.where("_later").alias("a").join(whole.where("not _later").alias("b"), F.expr(exact), "left_semi").select("_doc", "_ln")
-    return stored(similar.union(same).distinct(), "repeated")
+    firsts = kept.groupBy("_s1", "_s2").agg(F.min(F.struct("_doc", "_ln")).alias("_f"), F.count("*").alias("_k")).where("_k > 1").selectExpr("_s1 as _c1", "_s2 as _c2", "_f")
+    same = stored(kept.select("_doc", "_ln", "_s1", "_s2").join(firsts, (F.col("_s1") == F.col("_c1")) & (F.col("_s2") == F.col("_c2"))).where("_doc <> _f._doc or _ln <> _f._ln").select("_doc", "_ln").distinct(), "same")
+    words = kept.join(same, ["_doc", "_ln"], "left_anti").selectExpr("_doc", "_ln", "_n", "_b0", "_b1", "_b2", "_b3", "posexplode(_p) as (_pos, _tok)")
+
+    # Lines for which an earlier one passes all filters, and the earlier lines that pass for one of them.
+    part = stored(words.alias("a").join(words.alias("b"), F.expr(_SIMILAR), "left_semi"), "candidates")
+    near = stored(words.where(bucket_filter(part, "_tok", filter_bits)).alias("b").join(part.alias("a"), F.expr(_SIMILAR), "left_semi"), "near")
+    dropped(table)
+
+    # The likeliest of the first few earlier lines of its words is tried for each line; nearly all repeats show there.
+    few = near.withColumn("_r", F.expr("row_number() over (partition by _tok order by _doc, _ln)")).where(f"_r <= {TRIED}")
+    tried = part.alias("a").join(few.alias("b"), F.expr(_SIMILAR)).selectExpr("a._doc", "a._ln", "a._n", f"struct({_APART} - abs(a._n - b._n) as d, b._doc, b._ln, b._n) as _o")
+    best = stored(tried.groupBy("_doc", "_ln", "_n").agg(F.min("_o").alias("_o")).selectExpr("_doc", "_ln", "_n", "_o._doc as _fd", "_o._ln as _fl", "_o._n as _fn"), "best")
+    texts = stored(_text_of(own, best.select("_doc", "_ln").union(best.select("_fd", "_fl")).distinct(), filter_bits), "texts")
+    a = best.join(texts, ["_doc", "_ln"]).select("_fd", "_fl", "_fn", F.struct("_doc", "_ln", "_l", "_n").alias("a"))
+    b = a.join(texts.select(F.col("_doc").alias("_fd"), F.col("_ln").alias("_fl"), F.col("_l").alias("_fx")), ["_fd", "_fl"])
+    settled = stored(b.select("a", F.struct(F.col("_fx").alias("_l"), F.col("_fn").alias("_n")).alias("b")).where(_overlaps("a", "b")).select("a._doc", "a._ln").distinct(), "settled")
+
+    # The others meet all earlier lines that pass the filters, in a semi join on whole sets that ends at the first repeat.
+    open_ = stored(part.join(settled, ["_doc", "_ln"], "left_anti"), "open")
+    rest = stored(near.alias("b").join(open_.alias("a"), F.expr(_SIMILAR), "left_semi"), "rest")
+    hashed = _text_of(own, open_.select("_doc", "_ln").union(rest.select("_doc", "_ln")).distinct(), filter_bits).selectExpr("_doc", "_ln", f"transform(array_distinct({_WORDS}), x -> xxhash64(x)) as _set")
+    sets = stored(hashed, "sets")
+    exact = f"{_SIMILAR} and size(array_intersect(a._set, b._set)) >= {_NEED}"
+    similar = open_.join(sets, ["_doc", "_ln"]).alias("a").join(rest.join(sets, ["_doc", "_ln"]).alias("b"), F.expr(exact), "left_semi").select("_doc", "_ln")
+    return stored(similar.union(settled).union(same).distinct(), "repeated")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -107,7 +114,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = repeated_lines(docs, id_col, text_col, least_words, filter_bits)
     lists = gone.groupBy("_doc").agg(F.sort_array(F.collect_set("_ln")).alias("_removed"))
-    some = _bucket_filter(gone, "_doc", filter_bits)
+    some = bucket_filter(gone, "_doc", filter_bits)
     name = "`" + id_col.replace("`", "``") + "`"
     hit = F.expr(f"coalesce({some.replace('_doc', name)}, false)")
     none = F.expr("cast(array() as array<int>)")
