@@ -18,7 +18,7 @@ def _readings(spark, sf_dir):
     return H.page_readings(table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
-@query(r"select page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as declared_lang, 'fast' as tier from pages")
+@query(r"select page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as declared_lang, case when length(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) >= 30 then 'fast' else 'plain' end as tier from pages")
 def page_tiers(spark, sf_dir):
     return _readings(spark, sf_dir).select("page_id", "declared_lang", "tier")
 
