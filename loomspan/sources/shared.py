@@ -25,3 +25,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once for a context, unless their Python finds it anyway (working folder or PYTHONPATH)."""
+    import atexit
+    import os
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent.parent
+    near = [Path(p or ".").resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    context = spark.sparkContext
+    if root in near or getattr(context, "_loomspan_shipped", False):
+        return
+    d = tempfile.mkdtemp(prefix="loomspan-")  # executors fetch from it while the context lives
+    atexit.register(shutil.rmtree, d, True)
+    shutil.copytree(root / "loomspan", Path(d, "code", "loomspan"), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(Path(d, "loomspan-code")), "zip", Path(d, "code")))
+    context._loomspan_shipped = True
