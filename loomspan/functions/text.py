@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -54,32 +55,30 @@ def native_tokens(text: pd.Series) -> pd.Series:
 
 def simhash_of(text: str, k: int = 5, known: dict | None = None) -> int:
     """64 votes of the character shingles of a normal form, counted with repeats; a bit is set by more votes for than against."""
-    known = {} if known is None else known
-    n = max(1, len(text) - k + 1)
-    counts: dict[str, int] = {}
-    for i in range(n):
-        s = text[i : i + k]
-        counts[s] = counts.get(s, 0) + 1
-    values = []
-    for s in counts:
-        v = known.get(s)
-        if v is None:
-            if len(known) > 500_000:
-                known.clear()
-            known[s] = v = hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()[:8]
-        values.append(v)
-    bits = np.unpackbits(np.frombuffer(b"".join(values), np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
-    weight = np.fromiter(counts.values(), np.int64, len(counts))
-    votes = 2 * (weight @ bits) - weight.sum()
+    known = _Digests() if known is None else known
+    counts = Counter([text[i : i + k] for i in range(max(1, len(text) - k + 1))])
+    bits = np.unpackbits(np.frombuffer(b"".join(map(known.__getitem__, counts)), np.uint8).reshape(-1, 8), axis=1)
+    weight = np.fromiter(counts.values(), np.float64, len(counts))
+    votes = 2 * (weight @ bits.astype(np.float64)) - weight.sum()
     return int.from_bytes(np.packbits(votes > 0).tobytes(), "big")
 
 
+class _Digests(dict):
+    """The first eight bytes of SHA-256 of shingles, remembered up to a bound."""
+
+    def __missing__(self, shingle: str) -> bytes:
+        if len(self) > 500_000:
+            self.clear()
+        self[shingle] = out = hashlib.sha256(shingle.encode("utf-8", "surrogatepass")).digest()[:8]
+        return out
+
+
 def simhash64(shingle: int = 5, most_chars: int = 500_000):
     """Column function: the fingerprint as 16 hex digits, of the normal form of the first most_chars characters."""
 
     @F.pandas_udf(T.StringType())
     def f(text: pd.Series) -> pd.Series:
-        known: dict = {}
+        known = _Digests()
         return text.map(lambda t: None if t is None else f"{simhash_of(normal(t[:most_chars]), shingle, known):016x}")
 
     return f

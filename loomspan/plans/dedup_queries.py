@@ -9,7 +9,7 @@ from ..functions import urls as U
 from ..functions.text import as_long, text_digest
 from ..operators import dedup as D
 from ..operators.filters import first_hosts
-from ..sources.shared import table
+from ..sources.shared import spread, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -43,7 +43,7 @@ near as materialized (select distinct a.doc_id as l, c.doc_id as r, bit_count(xo
 
 
 def _fp(spark, sf_dir):
-    return D.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return D.fingerprints(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "lang")
 
 
 @query(f"select doc_id, sha256({_NORMAL}) as text_sha256 from documents")

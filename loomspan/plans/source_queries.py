@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import feeds as S
 from ..sources import html as H
 from ..sources import layout as L
-from ..sources.shared import table
+from ..sources.shared import spread, table
 from .registry import Registry
 
 query = Registry()
@@ -15,7 +15,7 @@ QUERIES, ORACLE_SQL = query.queries, query.sql
 
 
 def _readings(spark, sf_dir):
-    return H.page_readings(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return H.page_readings(spread(table(spark, sf_dir, "pages")), "page_id", "url", "html")
 
 
 @query(r"select page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as declared_lang, case when length(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) >= 30 then 'fast' else 'plain' end as tier from pages")
@@ -35,7 +35,7 @@ select page_id, (row_number() over (partition by page_id order by i) - 1)::int a
 )
 def page_links(spark, sf_dir):
     """All links of a page, its navigation included."""
-    r = H.page_readings(table(spark, sf_dir, "pages"), "page_id", "url", "html", dropped=("script", "style", "noscript", "template"), bodies=("body",))
+    r = H.page_readings(spread(table(spark, sf_dir, "pages")), "page_id", "url", "html", dropped=("script", "style", "noscript", "template"), bodies=("body",))
     return H.page_links(r, "page_id")
 
 

@@ -45,3 +45,9 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(root / "loomspan", Path(d, "code", "loomspan"), ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(str(Path(d, "loomspan-code")), "zip", Path(d, "code")))
     context._loomspan_shipped = True
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer scan tasks than cores, dealt over all cores before Python works on it; larger ones stay as they are, unshuffled."""
+    n = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(n) if table.rdd.getNumPartitions() < n else table
