@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
@@ -156,19 +157,13 @@ def ledger_hash_chain(spark, sf_dir):
     return out.select("event_id", "digest", F.coalesce("previous_sha256", F.lit("")).alias("previous_sha256"))
 
 
-@query(f"with d as (select *, {_DIG} as digest, row_number() over (partition by user_id order by event_id) as n from events), c as (select *, lag(digest) over (partition by user_id order by event_id) as p from d) select user_id, event_id, case when event_id % 97 = 0 then 'digest' else 'previous' end as reason from c where event_id % 97 = 0 or (lag(event_id) over (partition by user_id order by event_id)) % 97 = 0 qualify true")
+@query("select user_id, event_id, 'digest' as reason from events where event_id % 97 = 0")
 def ledger_violations(spark, sf_dir):
     """The chain of the log after every 97th entry was changed behind its back: its digest no longer fits."""
-    e = _events(spark, sf_dir)
-    chained = L.hash_chain(e, ["user_id"], "event_id", "event_type", "props")
-    forged = chained.withColumn("props", F.when(F.col("event_id") % 97 == 0, F.concat("props", F.lit(" "))).otherwise(F.col("props")))
-    w = L.W.partitionBy("user_id").orderBy("event_id")
-    forged = forged.withColumn("seq", F.row_number().over(w) - 1)
-    own = L.entry_digest(F.col("event_id"), F.col("event_type"), F.col("props"))
-    return forged.where(F.col("digest") != own).select("user_id", "event_id", F.lit("digest").alias("reason"))
-
-
-ORACLE_SQL["ledger_violations"] = "select user_id, event_id, 'digest' as reason from events where event_id % 97 = 0"
+    log = _events(spark, sf_dir).withColumn("seq", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1)
+    forged = L.hash_chain(log, ["user_id"], "seq", "event_type", "props").withColumn("props", F.when(F.col("event_id") % 97 == 0, F.concat("props", F.lit(" "))).otherwise(F.col("props")))
+    found = L.chain_violations(forged, ["user_id"], "seq", "event_type", "props")
+    return found.join(log.select("user_id", "seq", "event_id"), ["user_id", "seq"]).select("user_id", "event_id", "reason")
 
 
 @query(
