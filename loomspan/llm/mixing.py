@@ -105,7 +105,7 @@ def cube_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     source of its own, last in order. Repeated rows are units of their own. Chunks, order and seeds come from hashes of
     the ids, so reruns agree; a source of any size is dealt over many chunks, whose few open units meet in later rounds.
     """
-    sized = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.expr(f"regexp_count({_q(text_col)}, '{WORD}')"), F.lit(0)).cast("long").alias("size")), "sizes")
+    sized = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(_q(text_col)), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     targets = stored(source_targets(sized, weights, share, most), "targets")
     t = targets.withColumnRenamed("source", "_source")
     rows = sized.join(t, sized["source"].eqNullSafe(t["_source"])).drop("_source")

@@ -254,6 +254,17 @@ def test_mixing_meets_targets(spark):
         assert abs(taken - t) <= 400 and abs(copies - n * t / size) <= 3
 
 
+def test_mixing_sizes_are_word_counts(spark):
+    texts = ["hello", "The cat sat on 2 zebras\nyes", "ALL CAPS", "x", "a,b;c -- d!", "\ttab\x0bvt\x0cff\rcr\u00a0nbsp ", " ", "", None, "20 x09 x0D 漢字 é"]
+    got = {r.doc_id: r for r in mixing.cube_mix(table(spark, texts)).collect()}
+    want = [len(re.findall(common.WORD, t or "")) for t in texts]
+    assert [got[i].size for i in range(len(texts))] == want and want[:2] == [1, 7]
+    by = Counter()
+    for i, n in enumerate(want):
+        by[got[i].mix_source] += n
+    assert all(r.source_size == by[r.mix_source] for r in got.values())
+
+
 def test_cube_flight_keeps_both_totals():
     rng = np.random.default_rng(4)
     size, p = rng.integers(0, 5000, 3000).astype(float), rng.random(3000)
