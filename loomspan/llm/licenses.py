@@ -3,7 +3,11 @@ likely that license; the exact differences of wording confirm it."""
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -47,54 +51,48 @@ TEMPLATES = (
 )
 #: One of these opens a candidate block.
 TRIGGERS = (b"licens", b"licenc", b"copyright", b"spdx", b"permission", b"redistribut", b"public domain", b"rights reserved", b"cc by", b"cc0", b"warrant")
-#: Words on either side of a trigger that a block takes from a longer line.
+#: Words that a block takes on either side of a trigger, at least; more where a template with words put in is longer.
 AROUND = 60
-#: Templates whose wording is compared, best reductions first; the least reduction and share of the template's words.
-RANKED = 4
-LEAST_REDUCTION = 0.15
+#: Least share of the template's words. All templates are compared, best reductions first.
 LEAST_COVER = 0.9
-_TOKEN = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+#: Words put in between, as a share of the template's.
+MOST_EXTRA = 0.25
+#: A word may be broken after a hyphen, with comment marks before its rest.
+_TOKEN = re.compile(r"[a-z0-9]+(?:(?:\.|-(?:[ \t\r]*\n[\s*#/;%!|>-]*)?)[a-z0-9]+)*")
+_BREAK = re.compile(r"-[^a-z0-9]+")
 _SPDX = re.compile(r"spdx-license-identifier:\s*([A-Za-z0-9.+-]+)", re.I)
-_FIND = re.compile(b"|".join(TRIGGERS))
+_FIND = re.compile(b"|".join(t.replace(b" ", rb"[\W_]+") for t in TRIGGERS))
+_FIND_TEXT = re.compile(_FIND.pattern.decode(), re.A)
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    return [_BREAK.sub("-", w) for w in _TOKEN.findall(text.lower())]
 
 
-def blocks(text: bytes) -> list[tuple[int, int, str]]:
-    """(first line, lines, text) of each candidate: runs of lines that have a trigger, or one blank or short line between two.
-
-    From a long line only the words around its triggers are taken, so a statement inside prose is a block of its own.
-    """
+def blocks(text: bytes, around: int = AROUND) -> list[tuple[int, int, str]]:
+    """(first line, lines, text) of each candidate: the words around each trigger, across line ends; blocks that meet are one."""
     low = text.translate(LOWER)
     if not _FIND.search(low):
         return []
-    out: list[tuple[int, int, str]] = []
-    lines, lows = text.split(b"\n"), low.split(b"\n")
-    at = 0
-    while at < len(lines):
-        if not _FIND.search(lows[at]):
-            at += 1
-            continue
-        words = lines[at].split()
-        if len(words) > 2 * AROUND:
-            flags = [i for i, w in enumerate(lows[at].split()) if any(t.split()[0] in w for t in TRIGGERS)]
-            i = 0
-            while i < len(flags):
-                j = i
-                while j + 1 < len(flags) and flags[j + 1] - flags[j] <= AROUND:
-                    j += 1
-                part = words[max(0, flags[i] - AROUND) : flags[j] + AROUND + 1]
-                out.append((at, 1, b" ".join(part).decode("utf-8", "replace")))
-                i = j + 1
-            at += 1
-            continue
-        end = at + 1
-        while end < len(lines) and len(lines[end].split()) <= 2 * AROUND and (_FIND.search(lows[end]) or (end + 1 < len(lines) and len(lines[end].split()) <= 16 and _FIND.search(lows[end + 1]))):
-            end += 1
-        out.append((at, end - at, b" ".join(lines[at:end]).decode("utf-8", "replace")))
-        at = end
+    # ASCII is lowered byte by byte, so places in both are the same. Triggers are looked for as bytes and placed by words.
+    text, low = text.decode("utf-8", "replace"), low.decode("utf-8", "replace")
+    starts, ends = array("q"), array("q")
+    for m in _TOKEN.finditer(low):
+        starts.append(m.start())
+        ends.append(m.end())
+    spans: list[list[int]] = []
+    for m in _FIND_TEXT.finditer(low):
+        first, last = max(0, bisect_right(starts, m.start()) - 1 - around), min(len(starts), bisect_right(starts, m.end() - 1) + around)
+        if spans and first <= spans[-1][1]:
+            spans[-1][1] = last
+        else:
+            spans.append([first, last])
+    out, at, line = [], 0, 0
+    for first, last in spans:
+        lo, hi = starts[first], ends[last - 1]
+        line += low.count("\n", at, lo)
+        at = lo
+        out.append((line, low.count("\n", lo, hi) + 1, text[lo:hi]))
     return out
 
 
@@ -102,10 +100,12 @@ class Scanner:
     def __init__(self, templates=TEMPLATES, level: int = 19):
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         self.templates = []
+        self.around = AROUND
         for name, must, text in templates:
             d = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             own = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.templates.append((name, set(must.split()), tokens(text), own))
+            self.around = max(self.around, math.ceil((1 + MOST_EXTRA) * len(self.templates[-1][2])))
 
     def ranked(self, block: str) -> list[tuple[float, int]]:
         """Share of the compressed size that each template as a dictionary saves; best first."""
@@ -115,42 +115,63 @@ class Scanner:
         size = len(self.plain.compress(raw))
         return sorted(((1 - len(own.compress(raw)) / size, -i) for i, (_, _, _, own) in enumerate(self.templates)), reverse=True)
 
-    def confirm(self, block: str, i: int) -> tuple[float, int, int] | None:
-        """Cover of the template, its missing words, and words put in between; None if the wording isn't the template's."""
+    def matches(self, have: list[str], i: int) -> list[tuple[int, int, int, int]]:
+        """(first word, end, missing words, words put in between) of each place where the wording is the template's."""
         _, must, want, _ = self.templates[i]
-        have = tokens(block)
-        if not must <= set(have):
-            return None
-        pieces = [m for m in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if m.size]
-        if not pieces:
-            return None
-        hit = sum(m.size for m in pieces)
-        span = pieces[-1].a + pieces[-1].size - pieces[0].a
-        cover = hit / len(want)
-        matched = {w for m in pieces for w in want[m.b : m.b + m.size]}
         # Words with digits tell versions apart and may not differ; nor may the words that name the license.
-        if cover < LEAST_COVER or not must <= matched or any(any(c.isdigit() for c in w) and w not in matched for w in want) or span - hit > 0.25 * len(want):
+        fixed = must | {w for w in want if any(c.isdigit() for c in w)}
+        if not fixed <= set(have):
+            return []
+        size, width = Counter(want), len(want) + int(MOST_EXTRA * len(want))
+        least = math.ceil(LEAST_COVER * len(want) - 1e-9)
+        # Words that the window has in common with the template, in any order: a bound on those in order.
+        seen, common, end, found, at = Counter(), 0, 0, [], 0
+        match = SequenceMatcher(None, autojunk=False)
+        match.set_seq2(want)
+        for s, word in enumerate(have):
+            while end < min(len(have), s + width):
+                seen[have[end]] += 1
+                common += seen[have[end]] <= size[have[end]]
+                end += 1
+            if s >= at and common >= least and word in size and (got := self._in_window(match, have[s : s + width], want, fixed)):
+                found.append((s, s + got[0], got[1], got[2]))
+                at = s + got[0]
+            common -= seen[word] <= size[word]
+            seen[word] -= 1
+        return found
+
+    @staticmethod
+    def _in_window(match: SequenceMatcher, window: list[str], want: list[str], fixed: set[str]) -> tuple[int, int, int] | None:
+        """End, missing words and words put in of the best match that begins with the window; None if there is none."""
+        match.set_seq1(window)
+        pieces = [m for m in match.get_matching_blocks() if m.size]
+        if not pieces or pieces[0].a:
             return None
-        return cover, len(want) - hit, span - hit
+        best, hit, matched = None, 0, set()
+        for m in pieces:
+            hit += m.size
+            matched |= set(want[m.b : m.b + m.size])
+            end = m.a + m.size
+            if hit >= LEAST_COVER * len(want) and end - hit <= MOST_EXTRA * len(want) and fixed <= matched:
+                best = end, len(want) - hit, end - hit
+        return best
 
     def scan(self, text: bytes | None) -> list[dict]:
         found = []
-        for line, n, block in blocks(text or b""):
-            row = {"line": line, "n_lines": n, "license": None, "reduction": 0.0, "missing": 0, "extra": 0}
+        for k, (line, n, block) in enumerate(blocks(text or b"", self.around)):
+            row = {"block": k, "line": line, "n_lines": n, "license": None, "reduction": 0.0, "missing": 0, "extra": 0}
             if m := _SPDX.search(block):
                 row |= {"license": m[1], "reduction": 1.0}
                 found.append(row)
                 continue
-            names, best = [], None
-            for reduction, at in self.ranked(block)[: RANKED if len(tokens(block)) <= 30 else None]:
+            names, best, have = [], None, tokens(block)
+            for reduction, at in self.ranked(block):
                 row["reduction"] = max(row["reduction"], reduction)
-                if reduction < LEAST_REDUCTION and len(tokens(block)) <= 30:
-                    break
-                if (got := self.confirm(block, -at)) is not None and self.templates[-at][0] not in names:
+                if (got := self.matches(have, -at)) and self.templates[-at][0] not in names:
                     names.append(self.templates[-at][0])
-                    best = best or row | {"license": names[0], "reduction": reduction, "missing": got[1], "extra": got[2]}
+                    best = best or row | {"license": names[0], "reduction": reduction, "missing": got[0][2], "extra": got[0][3]}
             found.append(best or row)
-            found += [row | {"license": x} for x in names[1:] if len(tokens(block)) > 30]
+            found += [row | {"license": x} for x in names[1:] if len(have) > 30]
         return found
 
 
@@ -171,8 +192,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = [held[0].scan(t) for t in as_bytes(batch, text_col)]
         names = [sorted({f["license"] for f in x if f["license"]}) for x in found]
         return {
-            id_col: batch.column(id_col), "n_blocks": pa.array([len({(f["line"], f["n_lines"]) for f in x}) for x in found], pa.int64()), "licenses": pa.array([",".join(x) for x in names], pa.string()),
-            "n_confirmed": pa.array([sum(f["license"] is not None for f in x) for x in found], pa.int64()), "found": pa.array(found, pa.list_(item)),
+            id_col: batch.column(id_col), "n_blocks": pa.array([len({f["block"] for f in x}) for x in found], pa.int64()), "licenses": pa.array([",".join(x) for x in names], pa.string()),
+            "n_confirmed": pa.array([sum(f["license"] is not None for f in x) for x in found], pa.int64()), "found": pa.array([[{k: v for k, v in f.items() if k != "block"} for f in x] for x in found], pa.list_(item)),
         }
 
     return texts_map(docs, [id_col, text_col], lambda b: work(b), f"{id_col} {kind}, n_blocks long, licenses string, n_confirmed long, found array<struct<line:bigint,n_lines:bigint,license:string,reduction:double,missing:bigint,extra:bigint>>")

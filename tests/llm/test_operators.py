@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -301,6 +302,18 @@ def test_licenses_by_exact_wording():
     assert names("plain text") == [] and s.scan(None) == []
 
 
+def test_licenses_of_wrapped_notices():
+    s = licenses.Scanner()
+    prose = "Some words of prose that stand before and after it."
+    for name, _, text in licenses.TEMPLATES:
+        for mark in ("", "# ", " * ", "// "):
+            for width in (72, 24):
+                wrapped = "\n".join(mark + x for x in textwrap.wrap(text, width))
+                got = {r["license"] for r in s.scan(f"{prose}\n{mark}\n{wrapped}\n{mark}\n{prose}".encode())}
+                assert name in got, (name, mark, width)
+    assert {r["license"] for r in s.scan("\n".join(textwrap.wrap(licenses.TEMPLATES[6][2].replace("version 3", "version 4"), 72)).encode())} == {None}
+
+
 def test_pseudonyms_keep_form_and_links(spark):
     texts = ["card 4111 1111 1111 1111 and 4111111111111111", "born 1999-12-31, met 2/29/2000, left 31.02.2001", "a.b@x.org a.b@x.org c.d@x.org", "call +1 (415) 555-1234", "999.1.1.1 10.0.0.1", None, "", "password=abcd1234efgh"]
     got = [r.text for r in pii.pseudonymise(table(spark, texts), "k").orderBy("doc_id").collect()]
