@@ -60,7 +60,8 @@ MOST_EXTRA = 0.25
 #: A word may be broken after a hyphen, with comment marks before its rest.
 _TOKEN = re.compile(r"[a-z0-9]+(?:(?:\.|-(?:[ \t\r]*\n[\s*#/;%!|>-]*)?)[a-z0-9]+)*")
 _BREAK = re.compile(r"-[^a-z0-9]+")
-_SPDX = re.compile(r"spdx-license-identifier:\s*([A-Za-z0-9.+-]+)", re.I)
+_SPDX = re.compile(r"spdx-license-identifier:\s*", re.I)
+_PART = re.compile(r"[ \t]*([()]|[A-Za-z0-9.+-]+(?::LicenseRef-[A-Za-z0-9.-]+)?)")
 _FIND = re.compile(b"|".join(t.replace(b" ", rb"[\W_]+") for t in TRIGGERS))
 _FIND_TEXT = re.compile(_FIND.pattern.decode(), re.A)
 
@@ -69,6 +70,33 @@ def tokens(text: str) -> list[str]:
     return [_BREAK.sub("-", w) for w in _TOKEN.findall(text.lower())]
 
 
+def spdx(text: str) -> list[str]:
+    """Licenses of all SPDX expressions in a text, in order: operands of AND and OR, without the exceptions after WITH."""
+    names = []
+    for tag in _SPDX.finditer(text):
+        at, before = tag.end(), "OR"
+        while m := _PART.match(text, at):
+            part, at = m[1], m.end()
+            if part in ("AND", "OR", "WITH"):
+                if before in ("AND", "OR", "WITH", "("):
+                    break
+            elif part == "(":
+                if before not in ("AND", "OR", "("):
+                    break
+            elif part == ")":
+                if before in ("AND", "OR", "WITH", "("):
+                    break
+            elif before in ("AND", "OR", "("):
+                if (name := part.rstrip(".-")) and name not in names:
+                    names.append(name)
+            elif before != "WITH":
+                break
+            before = part
+            if part.endswith("."):
+                break
+    return names
+
+
 def blocks(text: bytes, around: int = AROUND) -> list[tuple[int, int, str]]:
     """(first line, lines, text) of each candidate: the words around each trigger, across line ends; blocks that meet are one."""
     low = text.translate(LOWER)
@@ -160,25 +188,24 @@ class Scanner:
         found = []
         for k, (line, n, block) in enumerate(blocks(text or b"", self.around)):
             row = {"block": k, "line": line, "n_lines": n, "license": None, "reduction": 0.0, "missing": 0, "extra": 0}
-            if m := _SPDX.search(block):
-                row |= {"license": m[1], "reduction": 1.0}
-                found.append(row)
-                continue
-            names, best, have = [], None, tokens(block)
+            names = {x: row | {"license": x, "reduction": 1.0} for x in spdx(block)}
+            have, met = tokens(block), []
             for reduction, at in self.ranked(block):
                 row["reduction"] = max(row["reduction"], reduction)
-                if (got := self.matches(have, -at)) and self.templates[-at][0] not in names:
-                    names.append(self.templates[-at][0])
-                    best = best or row | {"license": names[0], "reduction": reduction, "missing": got[0][2], "extra": got[0][3]}
-            found.append(best or row)
-            found += [row | {"license": x} for x in names[1:] if len(have) > 30]
+                met += [(reduction, -at, *m) for m in self.matches(have, -at)]
+            # A wording inside a longer one that says more is part of it: AGPL's has GPL's in it.
+            words = lambda m: len(self.templates[m[1]][2]) - m[4]
+            for m in met:
+                if self.templates[m[1]][0] not in names and not any(o[2] <= m[2] and m[3] <= o[3] and words(o) > words(m) for o in met):
+                    names[self.templates[m[1]][0]] = row | {"license": self.templates[m[1]][0], "reduction": m[0], "missing": m[4], "extra": m[5]}
+            found += names.values() or [row]
         return found
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """One row per row of docs: id, n_blocks, licenses (sorted, comma-joined; empty if none), n_confirmed, found.
 
-    found lists each block: first line, lines, license (null if no wording was confirmed), reduction, and how many words
+    found lists each license of each block: first line, lines, license (one row of null if none was confirmed), reduction, and how many words
     are missing from and put into the wording. Null and empty texts have no block. Repeated rows give repeated results;
     other columns are not read. No shuffle.
     """

@@ -314,6 +314,19 @@ def test_licenses_of_wrapped_notices():
     assert {r["license"] for r in s.scan("\n".join(textwrap.wrap(licenses.TEMPLATES[6][2].replace("version 3", "version 4"), 72)).encode())} == {None}
 
 
+def test_licenses_of_several_grants():
+    names = lambda t: sorted(r["license"] or "" for r in licenses.Scanner().scan(t.encode()))
+    assert names("Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.") == ["Apache-2.0", "MIT"]
+    assert names("SPDX-License-Identifier: MIT OR Apache-2.0") == ["Apache-2.0", "MIT"]
+    assert names("# SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0 AND MIT) OR BSD-3-Clause. And prose") == ["BSD-3-Clause", "GPL-2.0+", "MIT"]
+    assert names("// SPDX-License-Identifier: MIT\n// SPDX-License-Identifier: ISC\nLicensed under CC BY 4.0.") == ["CC-BY-4.0", "ISC", "MIT"]
+    assert names("SPDX-License-Identifier: MIT and then prose") == ["MIT"]
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    assert names(gpl.replace("General", "Affero General")) == ["AGPL-3.0"] and names(gpl.replace("General", "Lesser General")) == ["LGPL-3.0"]
+    assert names(gpl.replace("General", "Affero General") + "\n" + gpl) == ["AGPL-3.0", "GPL-3.0"]
+    assert names(" ".join(x[2] for x in licenses.TEMPLATES)) == sorted({x[0] for x in licenses.TEMPLATES})
+
+
 def test_pseudonyms_keep_form_and_links(spark):
     texts = ["card 4111 1111 1111 1111 and 4111111111111111", "born 1999-12-31, met 2/29/2000, left 31.02.2001", "a.b@x.org a.b@x.org c.d@x.org", "call +1 (415) 555-1234", "999.1.1.1 10.0.0.1", None, "", "password=abcd1234efgh"]
     got = [r.text for r in pii.pseudonymise(table(spark, texts), "k").orderBy("doc_id").collect()]
