@@ -21,6 +21,8 @@ from .common import FILTER_BITS, bucket_filter, dropped, longs, stored
 RARITY_BUCKETS = 1 << 16
 #: Lines of fewer distinct words are left alone: they agree by chance.
 LEAST_WORDS = 4
+#: Sets of fewer words than this are similar to equal sets only, so they needn't meet others.
+LEAST_UNEQUAL = 4
 #: Earlier lines of each word of which the likeliest is tried first. No cap: lines that fail meet all others afterwards.
 TRIED = 16
 
@@ -71,14 +73,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Each line, its size, a digest of its set, a bit for each word, and the words of its prefix.
     bit = "m | shiftleft(1L, cast(x & 63 as int))"
     bits = [f"if(size(_t) <= 64, {f'aggregate(_t, 0L, (m, x) -> {bit})' if j == 0 else '0L'}, aggregate(_t, 0L, (m, x) -> if((shiftright(x, 6) & 3) = {j}, {bit}, m))) as _b{j}" for j in range(4)]
-    lines = _ordered(_lines(own), longs(classes)).selectExpr("_doc", "_ln", "size(_t) as _n", "xxhash64(_t) as _s1", "xxhash64(_t, 1) as _s2", *bits, "slice(_t, 1, size(_t) - (4 * size(_t) + 4) div 5 + 1) as _p")
+    # A blank line would split into one empty word.
+    each = _lines(own) if least_words > 1 else _lines(own).where("_l <> ''")
+    lines = _ordered(each, longs(classes)).selectExpr("_doc", "_ln", "size(_t) as _n", "xxhash64(_t) as _s1", "xxhash64(_t, 1) as _s2", *bits, "slice(_t, 1, size(_t) - (4 * size(_t) + 4) div 5 + 1) as _p")
     table = stored(lines, "lines")
-    kept = table.where(f"_n >= {least_words}")
+    kept = table.where(f"_n >= {max(1, least_words)}")
 
     # Lines of the same set: the first stays for the others.
     firsts = kept.groupBy("_s1", "_s2").agg(F.min(F.struct("_doc", "_ln")).alias("_f"), F.count("*").alias("_k")).where("_k > 1").selectExpr("_s1 as _c1", "_s2 as _c2", "_f")
     same = stored(kept.select("_doc", "_ln", "_s1", "_s2").join(firsts, (F.col("_s1") == F.col("_c1")) & (F.col("_s2") == F.col("_c2"))).where("_doc <> _f._doc or _ln <> _f._ln").select("_doc", "_ln").distinct(), "same")
-    words = kept.join(same, ["_doc", "_ln"], "left_anti").selectExpr("_doc", "_ln", "_n", "_b0", "_b1", "_b2", "_b3", "posexplode(_p) as (_pos, _tok)")
+    words = kept.where(f"_n >= {max(least_words, LEAST_UNEQUAL)}").join(same, ["_doc", "_ln"], "left_anti").selectExpr("_doc", "_ln", "_n", "_b0", "_b1", "_b2", "_b3", "posexplode(_p) as (_pos, _tok)")
 
     # Lines for which an earlier one passes all filters, and the earlier lines that pass for one of them.
     part = stored(words.alias("a").join(words.alias("b"), F.expr(_SIMILAR), "left_semi"), "candidates")

@@ -190,6 +190,18 @@ def test_line_dedup_against_brute_force(spark):
     assert got[len(texts) - 1]._n_lines == texts[0].count("\n") + 1 and got[0].kept is True
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_line_dedup_of_short_lines_against_brute_force(spark, least):
+    rng = random.Random(10)
+    short = ["All rights reserved.", "Read more", "read  MORE", "more", " ", "", "\t\x0b", "a b c", "c b a", "a b c d", "a b c d e", "a b c x", "x"]
+    texts = ["\n".join([*rng.choices(short, k=8), words(rng, 6, 10**6)]) for _ in range(40)] + [None, "", "more"]
+    want = brute_lines(texts, least)
+    got = {r.doc_id: r for r in lines.line_dedup(table(spark, texts), least_words=least).collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i]._removed) == [j for j in want[i] if texts[i].split("\n")[j].strip()]
+    assert any(t and t.split("\n")[j].strip() == "Read more" for t, w in zip(texts, want) for j in w) or least > 2
+
+
 def test_winnowing_same_by_both_ways(spark):
     rng = random.Random(11)
     items = [words(rng, n, 3000) for n in (9, 10, 11, 40, 200, 3, 1)]
