@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations
 
@@ -17,9 +18,9 @@ FEATURES = 1 << 13
 ORDERS = (1, 2, 3, 4)
 #: Documents of each language that the classifiers are fitted on, at most.
 SAMPLE = 400
-#: Languages that are learned, at most: the most frequent ones.
-LANGUAGES = 64
-#: Families of language codes. A code that isn't listed is a family of its own.
+#: Codes that are in no listed family are families of their own up to this number; more are dealt over groups.
+OWN = 32
+#: Families of language codes.
 FAMILIES = {
     "germanic": "en de nl af sv da no nb nn is fo fy lb yi",
     "romance": "fr es pt it ca ro gl oc rm sc",
@@ -39,6 +40,17 @@ def family(code: str) -> str:
     return _FAMILY.get(base, f"own:{code}")
 
 
+def families(codes: list[str]) -> dict[str, str]:
+    """The family of each code. Many unlisted codes are put in groups of neighbours in order, so that machines between and within groups stay few."""
+    of = {c: family(c) for c in codes}
+    alone = sorted(c for c in of if of[c].startswith("own:"))
+    if len(alone) > OWN:
+        # g groups of n codes need about g * g / 2 + n * n / (2 * g) machines, least at this g.
+        groups = np.array_split(np.array(alone, object), max(OWN, math.ceil((len(alone) ** 2 / 2) ** (1 / 3))))
+        of |= {c: f"group:{i}" for i, part in enumerate(groups) for c in part}
+    return of
+
+
 def features(text: str) -> np.ndarray:
     """Square roots of the shares of hashed byte n-grams, over the whole text in lower case."""
     b = np.frombuffer(b" ".join(text.lower().encode("utf-8", "surrogatepass").split()), np.uint8).astype(np.uint32)
@@ -52,11 +64,24 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(out / max(1.0, out.sum())).astype(np.float32)
 
 
+def _sparse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(x).astype(np.uint16)
+    return at, x[at]
+
+
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The rows of one machine; all rows at once would grow with the number of languages."""
+    out = np.zeros((len(rows), FEATURES), np.float32)
+    for row, (at, v) in zip(out, rows):
+        row[at] = v
+    return out
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
     """Weights (the last is the bias) of a squared-hinge support vector machine, by dual coordinate descent. y: 1 or -1."""
     x = np.hstack((x, np.ones((len(x), 1), x.dtype)))
     w, a = np.zeros(x.shape[1], np.float64), np.zeros(len(x))
-    q = (x.astype(np.float64) ** 2).sum(1) + 0.5 / c
+    q = np.array([np.square(r, dtype=np.float64).sum() for r in x]) + 0.5 / c
     rng = np.random.default_rng(0)
     for _ in range(epochs):
         moved = 0.0
@@ -76,24 +101,25 @@ class Hierarchy:
     """Families apart by one-versus-one machines, and languages within each family likewise."""
 
     def __init__(self, texts: list[str], langs: list[str]):
-        x = np.stack([features(t) for t in texts]) if texts else np.zeros((0, FEATURES), np.float32)
+        x = [_sparse(features(t)) for t in texts]
         self.languages = sorted(set(langs))
+        of = families(self.languages)
         by = np.array(langs, object)
-        fam = np.array([family(v) for v in langs], object)
+        fam = np.array([of[v] for v in langs], object)
         self.families: dict[str, list[str]] = {}
         for v in self.languages:
-            self.families.setdefault(family(v), []).append(v)
+            self.families.setdefault(of[v], []).append(v)
         self.top = self._fit(x, fam, sorted(self.families))
         self.within = {f: self._fit(x, by, members) for f, members in self.families.items()}
 
     @staticmethod
-    def _fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
+    def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, names: list[str]) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
         pairs = list(combinations(range(len(names)), 2))
-        rows = []
-        for i, j in pairs:
+        rows = np.zeros((len(pairs), FEATURES + 1), np.float64)
+        for row, (i, j) in zip(rows, pairs):
             at = np.flatnonzero((y == names[i]) | (y == names[j]))
-            rows.append(linear_svm(x[at], np.where(y[at] == names[i], 1.0, -1.0)))
-        return names, pairs, np.array(rows, np.float64).reshape(len(pairs), FEATURES + 1)
+            row[:] = linear_svm(_dense([x[k] for k in at]), np.where(y[at] == names[i], 1.0, -1.0))
+        return names, pairs, rows
 
     @staticmethod
     def _vote(model, x: np.ndarray) -> tuple[str, float]:
@@ -120,20 +146,19 @@ class Hierarchy:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Hierarchy:
     """Fits on up to sample documents of each language, the first by a hash of the id; never on held out rows."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where("_lang is not null and _text is not null").where(~held_out("_id"))
-    most = [r[0] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()]
     # The smallest hashes of each language by a bound on the hash: no window over all rows, no text is moved for it.
-    n = {r[0]: r[1] for r in rows.where(F.col("_lang").isin(most)).groupBy("_lang").count().collect()}
+    n = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
     if not n:
         return Hierarchy([], [])
     part = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30)).cast("long")
-    bound = F.coalesce(*(F.when(F.col("_lang") == v, F.lit(min(1 << 30, int((sample + 6 * sample**0.5 + 10) / k * (1 << 30))))) for v, k in n.items()))
-    near = rows.where(F.col("_lang").isin(most)).where(part < bound).withColumn("_part", part)
+    bounds = docs.sparkSession.createDataFrame([(v, min(1 << 30, int((sample + 6 * sample**0.5 + 10) / k * (1 << 30)))) for v, k in n.items()], "_l string, _bound long")
+    near = rows.withColumn("_part", part).join(F.broadcast(bounds), (F.col("_lang") == F.col("_l")) & (F.col("_part") < F.col("_bound")))
     got = near.withColumn("_r", F.row_number().over(W.partitionBy("_lang").orderBy("_part", "_id", F.xxhash64("_text")))).where(f"_r <= {sample}").select("_text", "_lang").orderBy("_lang", "_part", "_id").collect()
     return Hierarchy([r[0] for r in got], [r[1] for r in got])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """One row per row of docs: id, held_out, lang_pred, score (0 to 1).
+    """One row per row of docs: id, held_out, lang_pred, score (0 to 1). Every language of rows that aren't held out is learned.
 
     A null text, one without a letter, and every text when no language could be learned are und with score 0. Texts are
     read whole; long ones cost no more memory than a few times their size. Repeated rows give repeated results.

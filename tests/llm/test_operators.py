@@ -366,6 +366,21 @@ def test_language_held_out(spark, sf):
     assert odd[-1].lang_pred == odd[-2].lang_pred == "und"
 
 
+def test_language_learns_every_language(spark):
+    rng = random.Random(12)
+    # Seventy codes, five of them with few rows, each with words of its own letters.
+    codes = [f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(68)] + ["en", "de"]
+    own = {c: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)] for c in codes}
+    rows = [(i * 100 + k, " ".join(rng.choices(own[c], k=30)), c) for i, c in enumerate(codes) for k in range(8 if i < 5 else 12)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=8).collect()
+    right = {i: c for i, _, c in rows}
+    assert {r.lang_pred for r in got} == set(codes)
+    assert sum(right[r.doc_id] == r.lang_pred for r in got) >= 0.98 * len(got)
+    of = language.families([*map(str, range(1000)), "en", "de"])
+    assert of["en"] == of["de"] == "germanic" and len(set(of.values())) <= 100
+    assert language.families(["xa", "xb"]) == {"xa": "own:xa", "xb": "own:xb"}
+
+
 def test_label_model_downweights_copies():
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.2
