@@ -5,8 +5,14 @@ Aliases are the connected components over redirect and canonical-link edges.
 
 from __future__ import annotations
 
+import html
+import re
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 from .graph import connected_components
@@ -15,6 +21,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (action, host, path) of the registered query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 _LINK = r"""<link[^>]*rel=["']?canonical["']?[^>]*>"""
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 _REFRESH = r"""<meta[^>]*http-equiv=["']?refresh["']?[^>]*>"""
 
 
@@ -32,16 +39,36 @@ def alias_key(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path_of(url), F.regexp_extract(url, r"://[^/?#]*[^?#]*(\?[^#]*)", 1)))
 
 
+def resolved(src: str | None, base: str | None, link: str) -> str | None:
+    """A link's target, its entities decoded, against the page's base or url; None if there is no address to go from."""
+    link = html.unescape(link).strip()
+    if not link or _SCHEME.match(link):
+        return link or None
+    if base:
+        src = resolved(src, None, base)
+    scheme, found, rest = (src or "").partition("://")
+    if not found:
+        return None
+    # Joined as http, since not all schemes can be joined.
+    try:
+        return scheme + urljoin(f"http://{rest}", link)[4:]
+    except ValueError:
+        return f"{scheme}://{re.split('[/?#]', rest)[0]}{link}" if link.startswith("/") and not link.startswith("//") else None
+
+
+@F.pandas_udf(T.StringType())
+def _resolved(src: pd.Series, base: pd.Series, link: pd.Series) -> pd.Series:
+    return pd.Series([resolved(s, b, x) for s, b, x in zip(src, base, link)], dtype=object)
+
+
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """src, dst: what pages say of themselves by canonical links and refresh redirects, absolute or from the host's root."""
+    """src, dst: what pages say of themselves by all their canonical links and refresh redirects, resolved against <base> or their url."""
     low = F.translate(F.col(html_col), _UPPER, _LOWER)
     found = pages.where(F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("refresh"))).select(F.col(url_col).alias("src"), F.col(html_col).alias("_h"))
-    link = F.regexp_extract(F.regexp_extract("_h", f"(?i)({_LINK})", 1), r"""(?i)href=["']?([^"'\s>]+)""", 1)
-    move = F.regexp_extract(F.regexp_extract("_h", f"(?i)({_REFRESH})", 1), r"""(?i)url=["']?([^"'\s>]+)""", 1)
-    to = found.select("src", F.explode(F.array(link, move)).alias("_to")).where("_to <> ''")
-    scheme = F.coalesce(F.regexp_extract("src", "^(.*?)://", 1), F.lit(""))
-    whole = F.when(F.contains("_to", F.lit("://")), F.col("_to")).when(F.startswith("_to", F.lit("//")), F.concat(scheme, F.lit(":"), "_to")).when(F.startswith("_to", F.lit("/")), F.concat(scheme, F.lit("://"), host_of(F.col("src")), "_to"))
-    return to.select("src", whole.alias("dst")).where("dst is not null")
+    targets = lambda tag, attr: F.transform(F.regexp_extract_all("_h", F.lit(f"(?i)({tag})"), F.lit(1)), lambda t: F.regexp_extract(t, rf"""(?i){attr}=["']?([^"'\s>]+)""", 1))
+    base = F.regexp_extract("_h", r"""(?i)<base\s[^>]*?href=["']?([^"'\s>]+)""", 1)
+    to = found.select("src", base.alias("_base"), F.explode(F.array_distinct(F.concat(targets(_LINK, "href"), targets(_REFRESH, "url")))).alias("_to")).where("_to <> ''")
+    return to.select("src", _resolved("src", "_base", "_to").alias("dst")).where("dst is not null")
 
 
 def rule_table(spark, rules) -> DataFrame:

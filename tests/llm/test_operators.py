@@ -302,6 +302,20 @@ def test_redirects_pass_on_blocks(spark):
     assert {r.verdict for r in urls.url_verdicts(spark.createDataFrame(some, "page_id long, url string, html string")).collect()} == {"block"}
 
 
+def test_redirects_resolve_targets(spark):
+    link, move = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        (1, "https://bad.net/d/1.html", link.format("page2.html")), (2, "https://bad.net/d/2.html", move.format("../a")), (3, "https://bad.net/d/3?x=1", link.format("?id=1&amp;n=2")),
+        (4, "https://p.com/1", "<base href='//bad.net/b/'>" + link.format("c")), (5, "https://p.com/2", link.format("https://q.com/x?a=1&amp;b=2") + link.format("https://bad.net/7") + move.format("/r")),
+        (6, "https://q.com/x?a=1&b=2", None), (7, "https://p.com/r", "<p>"), (8, "https://p.com/3", move.format("javascript:x()")), (9, "no url", link.format("x")), (10, "https://p.com/4?to", link.format("?u=https://bad.net/")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r.src[-6:], r.dst) for r in urls.html_edges(df.where("page_id < 5")).collect()) == sorted([("1.html", "https://bad.net/d/page2.html"), ("2.html", "https://bad.net/a"), ("/3?x=1", "https://bad.net/d/3?id=1&n=2"), (".com/1", "https://bad.net/b/c")])
+    got = {r.page_id: (r.verdict, r.alias_of) for r in urls.url_verdicts(df).collect()}
+    assert [got[i][0] for i in (4, 5, 6, 7, 8, 10)] == ["block"] * 4 + ["allow"] * 2
+    assert got[5][1] == got[6][1] == got[7][1] == "bad.net/7" and got[8][1] is None and got[9][1] is None and got[10][1] == "p.com/4?to"
+
+
 def test_licenses_by_exact_wording():
     s = licenses.Scanner()
     names = lambda t: [r["license"] for r in s.scan(t.encode())]
