@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,14 +60,24 @@ def longs(values: list[int]) -> str:
     return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)"
 
 
-def bucket_filter(ids: DataFrame, columns: str, bits: int) -> str:
-    """Condition that holds for every row whose columns are among those of ids, by a bit for each hash; bits / 8 bytes at any size."""
-    at = f"pmod(xxhash64({columns}), {bits})"
-    rows = ids.selectExpr(f"{at} as _h").groupBy(F.expr("_h div 64").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_h % 64 as int)))").alias("_b")).collect()
+def maybe_among(ids: DataFrame, bits: int, *columns: str) -> Callable[..., Column]:
+    """A condition on as many columns: it holds for every row whose values are among those of ids, by a bit for each hash.
+
+    bits / 8 bytes at any size of the data. They reach the executors as the value of a scalar subquery, so no plan's
+    text holds them.
+    """
+    at = lambda cols: F.pmod(F.xxhash64(*(F.col(c) for c in cols)), F.lit(bits))
+    rows = ids.select(at(columns).alias("_h")).groupBy(F.expr("_h div 64").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_h % 64 as int)))").alias("_b")).collect()
     words = [0] * (bits // 64)
     for r in rows:
         words[r._w] = r._b
-    return f"getbit(get({longs(words)}, cast({at} div 64 as int)), cast({at} % 64 as int)) = 1"
+    held = ids.sparkSession.createDataFrame([(words,)], "b array<bigint>").scalar()
+    return lambda *cols: F.getbit(F.get(held, (at(cols) / 64).cast("int")), (at(cols) % 64).cast("int")) == 1
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression reads it, whatever marks it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 class WordHashes(dict):
@@ -169,6 +179,5 @@ def flat(lists: list[list]) -> list:
 def without(docs: DataFrame, id_col: str, gone: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """docs without the rows whose id is in the one column of gone; only rows that may go are shuffled. Rows without an id stay."""
     gone = gone.toDF("_gone").where("_gone is not null").distinct()
-    name = "`" + id_col.replace("`", "``") + "`"
-    maybe = F.coalesce(F.expr(bucket_filter(gone, "_gone", bits).replace("_gone", name)), F.lit(False))
-    return docs.where(~maybe).union(docs.where(maybe).join(gone, docs[id_col] == gone["_gone"], "left_anti"))
+    maybe = F.coalesce(maybe_among(gone, bits, "_gone")(quoted(id_col)), F.lit(False))
+    return docs.where(~maybe).union(docs.where(maybe).join(gone, docs[quoted(id_col)] == gone["_gone"], "left_anti"))

@@ -12,100 +12,114 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, bucket_filter, dropped, longs, stored
+from .common import FILTER_BITS, dropped, longs, maybe_among, quoted, stored
 
 #: Buckets of word hashes that are counted for rarity; the bound is fixed.
 RARITY_BUCKETS = 1 << 16
-#: Lines of fewer distinct words are left alone: they agree by chance.
-LEAST_WORDS = 4
+#: Lines of fewer distinct words are left alone. One: every line that is not blank takes part.
+LEAST_WORDS = 1
 #: Sets of fewer words than this are similar to equal sets only, so they needn't meet others.
 LEAST_UNEQUAL = 4
 #: Earlier lines of each word of which the likeliest is tried first. No cap: lines that fail meet all others afterwards.
 TRIED = 16
+#: Words up to which the parities of a set fit one long; those of larger sets take two.
+ONE_LONG = 100
 
-#: Words of a line, lower case, split at ASCII blanks; the regular expression only where one-blank splitting is not the same.
-_WORDS = r"case when contains(_l, '  ') or startswith(_l, ' ') or endswith(_l, ' ') or contains(_l, '\t') or contains(_l, '\r') or contains(_l, '\f') or contains(_l, '\x0B') then regexp_extract_all(lower(_l), '[^\\x20\\x09-\\x0D]+', 0) else split(lower(_l), ' ') end"
+_BLANKS = r"'[\\t\\r\\f\\x0B]'"
 _NEED = "((4 * (a._n + b._n) + 8) div 9)"
-#: Bits that differ, of 256 if both lines are long, else of the 64 that they fold to: no more than words that differ.
-_FOLDED = "({0}._b0 | {0}._b1 | {0}._b2 | {0}._b3)"
-_APART = f"if(a._n <= 64 or b._n <= 64, bit_count({_FOLDED.format('a')} ^ {_FOLDED.format('b')}), bit_count(a._b0 ^ b._b0) + bit_count(a._b1 ^ b._b1) + bit_count(a._b2 ^ b._b2) + bit_count(a._b3 ^ b._b3))"
+#: Parities that differ: no more than words that do. A set of two longs is folded to meet one of one.
+_APART = f"if(a._n <= {ONE_LONG} or b._n <= {ONE_LONG}, bit_count(a._b0 ^ a._b1 ^ b._b0 ^ b._b1), bit_count(a._b0 ^ b._b0) + bit_count(a._b1 ^ b._b1))"
+#: The rarest common word has as many words before it, in both, as may differ at most.
 _SIMILAR = f"""a._tok = b._tok and (a._doc > b._doc or (a._doc = b._doc and a._ln > b._ln))
   and 5 * least(a._n, b._n) >= 4 * greatest(a._n, b._n)
   and least(a._n - a._pos, b._n - b._pos) >= {_NEED}
+  and a._pos + b._pos <= a._n + b._n - 2 * {_NEED}
   and {_APART} <= a._n + b._n - 2 * {_NEED}"""
+_EXACT = "9 * size(array_intersect(a._w, b._w)) >= 4 * (size(a._w) + size(b._w))"
+
+
+def _words(line: str) -> str:
+    """Words of a line in lower case, split at ASCII blanks."""
+    return f"array_remove(split(lower(if({line} rlike {_BLANKS}, regexp_replace({line}, {_BLANKS}, ' '), {line})), ' '), '')"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr("_doc", r"posexplode(split(_text, '\n')) as (_ln, _l)")
+    return docs.selectExpr("_doc", r"posexplode(split(_text, '\n')) as (_ln, _l)").where("_l <> ''")
 
 
-def _ordered(lines: DataFrame, rarity: str) -> DataFrame:
-    """_t: the line's distinct words, rarest first, as class of rarity and 58 bits of the hash."""
-    word = f"shiftleft(get({rarity}, cast(pmod(h, {RARITY_BUCKETS}) as int)), 58) | shiftrightunsigned(h, 6)"
-    return lines.selectExpr("_doc", "_ln", f"array_distinct(sort_array(transform(transform({_WORDS}, x -> xxhash64(x)), h -> {word}))) as _t")
+def _rarity(own: DataFrame) -> list[int]:
+    """A class for each bucket of word hashes, by powers of two of how often its words occur in all documents."""
+    counts = _lines(own).selectExpr("explode(split(lower(_l), ' ')) as _w").groupBy(F.expr(f"cast(xxhash64(_w) & {RARITY_BUCKETS - 1} as int)").alias("_b")).count().collect()
+    classes = [0] * RARITY_BUCKETS
+    for b, n in counts:
+        classes[b] = min(31, int(math.log2(n + 1)))
+    return classes
 
 
-def _text_of(own: DataFrame, lines: DataFrame, bits: int) -> DataFrame:
-    """_doc, _ln, _l of the given distinct lines; only documents that may have one are moved."""
-    wanted = lines.groupBy(F.col("_doc").alias("_wanted")).agg(F.collect_set("_ln").alias("_lns"))
-    texts = own.where(bucket_filter(lines, "_doc", bits)).join(wanted, F.col("_doc") == F.col("_wanted"))
-    return texts.selectExpr("_doc", "_lns", r"posexplode(split(_text, '\n')) as (_ln, _l)").where("array_contains(_lns, _ln)").select("_doc", "_ln", "_l").dropDuplicates(["_doc", "_ln"])
+def _measured(own: DataFrame, least_words: int) -> DataFrame:
+    """Each line: _n words, digests _s1 and _s2 of their set and _h of the line itself, parities, and the rarest words _p.
 
+    A word is its class of rarity and 58 bits of its hash, so plain order is order by rarity. Nothing in the words'
+    expression may be null, as arrays without nulls are sorted as primitives.
+    """
+    token = f"shiftleft(coalesce(get({longs(_rarity(own))}, cast(xxhash64(x) & {RARITY_BUCKETS - 1} as int)), 0L), 58) | shiftrightunsigned(xxhash64(x), 6)"
+    flip = "m ^ shiftleft(1L, cast(x & 63 as int))"
+    parity = [
+        f"if(size(_t) <= {ONE_LONG}, aggregate(_t, 0L, (m, x) -> {flip}), aggregate(_t, 0L, (m, x) -> if((x & 64) = 0, {flip}, m))) as _b0",
+        f"if(size(_t) <= {ONE_LONG}, 0L, aggregate(_t, 0L, (m, x) -> if((x & 64) = 0, m, {flip}))) as _b1",
+    ]
+    sets = _lines(own).selectExpr("_doc", "_ln", "xxhash64(_l) as _h", f"array_distinct(sort_array(transform({_words('_l')}, x -> {token}))) as _t")
+    return sets.selectExpr("_doc", "_ln", "_h", "size(_t) as _n", "xxhash64(_t) as _s1", "xxhash64(_t, 1) as _s2", *parity, "slice(_t, 1, size(_t) - (4 * size(_t) + 4) div 5 + 1) as _p").where(f"_n >= {max(1, least_words)}")
 
-def _overlaps(a: str, b: str) -> str:
-    """The exact test on the distinct words of two lines."""
-    x, y = (f"array_distinct({_WORDS})".replace("_l,", f"{v}._l,").replace("(_l)", f"({v}._l)") for v in (a, b))
-    return f"9 * size(array_intersect({x}, {y})) >= 4 * ({a}._n + {b}._n)"
+
+def _words_of(own: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """_doc, _ln and the distinct words _w of the wanted lines; only lines that may be wanted are moved."""
+    wanted = wanted.distinct()
+    some = _lines(own.where(maybe_among(wanted, bits, "_doc")("_doc"))).where(maybe_among(wanted, bits, "_doc", "_ln")("_doc", "_ln"))
+    return some.join(wanted, ["_doc", "_ln"], "left_semi").dropDuplicates(["_doc", "_ln"]).selectExpr("_doc", "_ln", f"array_distinct({_words('_l')}) as _w")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """_doc, _ln of each line that repeats an earlier one (similarity 0.8 or more of their sets of words)."""
-    own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where("_doc is not null and _text is not null")
-    # Rarity: words counted over all documents, in a fixed number of buckets; classes are powers of two.
-    counts = own.selectExpr("explode(split(lower(_text), ' ')) as _w").groupBy(F.expr(f"pmod(xxhash64(_w), {RARITY_BUCKETS})").alias("_b")).count().collect()
-    classes = [0] * RARITY_BUCKETS
-    for b, n in counts:
-        classes[b] = min(31, int(math.log2(n + 1)))
-
-    # Each line, its size, a digest of its set, a bit for each word, and the words of its prefix.
-    bit = "m | shiftleft(1L, cast(x & 63 as int))"
-    bits = [f"if(size(_t) <= 64, {f'aggregate(_t, 0L, (m, x) -> {bit})' if j == 0 else '0L'}, aggregate(_t, 0L, (m, x) -> if((shiftright(x, 6) & 3) = {j}, {bit}, m))) as _b{j}" for j in range(4)]
-    # A blank line would split into one empty word.
-    each = _lines(own) if least_words > 1 else _lines(own).where("_l <> ''")
-    lines = _ordered(each, longs(classes)).selectExpr("_doc", "_ln", "size(_t) as _n", "xxhash64(_t) as _s1", "xxhash64(_t, 1) as _s2", *bits, "slice(_t, 1, size(_t) - (4 * size(_t) + 4) div 5 + 1) as _p")
-    table = stored(lines, "lines")
-    kept = table.where(f"_n >= {max(1, least_words)}")
+    own = docs.select(F.col(quoted(id_col)).alias("_doc"), F.col(quoted(text_col)).alias("_text")).where("_doc is not null and _text is not null")
+    measured = stored(_measured(own, least_words), "lines")
 
-    # Lines of the same set: the first stays for the others.
-    firsts = kept.groupBy("_s1", "_s2").agg(F.min(F.struct("_doc", "_ln")).alias("_f"), F.count("*").alias("_k")).where("_k > 1").selectExpr("_s1 as _c1", "_s2 as _c2", "_f")
-    same = stored(kept.select("_doc", "_ln", "_s1", "_s2").join(firsts, (F.col("_s1") == F.col("_c1")) & (F.col("_s2") == F.col("_c2"))).where("_doc <> _f._doc or _ln <> _f._ln").select("_doc", "_ln").distinct(), "same")
-    words = kept.where(f"_n >= {max(least_words, LEAST_UNEQUAL)}").join(same, ["_doc", "_ln"], "left_anti").selectExpr("_doc", "_ln", "_n", "_b0", "_b1", "_b2", "_b3", "posexplode(_p) as (_pos, _tok)")
+    # Lines of the same set: the first stands for the others. A copy of the first is surely the same; others are looked at.
+    sets = measured.groupBy("_s1", "_s2").agg(F.min(F.struct("_doc", "_ln", "_h", "_n", "_b0", "_b1", "_p")).alias("_f"), F.count("*").alias("_k")).select("_s1", "_s2", "_k", "_f.*")
+    sets = stored(sets, "sets")
+    firsts = sets.where("_k > 1").selectExpr("_s1 as _c1", "_s2 as _c2", "_doc as _fd", "_ln as _fl", "_h as _fh")
+    same = measured.select("_doc", "_ln", "_h", "_s1", "_s2").join(firsts, (F.col("_s1") == F.col("_c1")) & (F.col("_s2") == F.col("_c2"))).where("_doc <> _fd or _ln <> _fl")
+    same = stored(same.selectExpr("_doc", "_ln", "_fd", "_fl", "_h = _fh as _sure"), "same")
+    dropped(measured)
 
     # Lines for which an earlier one passes all filters, and the earlier lines that pass for one of them.
+    words = sets.where(f"_n >= {LEAST_UNEQUAL}").selectExpr("_doc", "_ln", "_n", "_b0", "_b1", "posexplode(_p) as (_pos, _tok)")
     part = stored(words.alias("a").join(words.alias("b"), F.expr(_SIMILAR), "left_semi"), "candidates")
-    near = stored(words.where(bucket_filter(part, "_tok", filter_bits)).alias("b").join(part.alias("a"), F.expr(_SIMILAR), "left_semi"), "near")
-    dropped(table)
+    near = stored(words.where(maybe_among(part, filter_bits, "_tok")("_tok")).alias("b").join(part.alias("a"), F.expr(_SIMILAR), "left_semi"), "near")
 
     # The likeliest of the first few earlier lines of its words is tried for each line; nearly all repeats show there.
     few = near.withColumn("_r", F.expr("row_number() over (partition by _tok order by _doc, _ln)")).where(f"_r <= {TRIED}")
-    tried = part.alias("a").join(few.alias("b"), F.expr(_SIMILAR)).selectExpr("a._doc", "a._ln", "a._n", f"struct({_APART} - abs(a._n - b._n) as d, b._doc, b._ln, b._n) as _o")
-    best = stored(tried.groupBy("_doc", "_ln", "_n").agg(F.min("_o").alias("_o")).selectExpr("_doc", "_ln", "_n", "_o._doc as _fd", "_o._ln as _fl", "_o._n as _fn"), "best")
-    texts = stored(_text_of(own, best.select("_doc", "_ln").union(best.select("_fd", "_fl")).distinct(), filter_bits), "texts")
-    a = best.join(texts, ["_doc", "_ln"]).select("_fd", "_fl", "_fn", F.struct("_doc", "_ln", "_l", "_n").alias("a"))
-    b = a.join(texts.select(F.col("_doc").alias("_fd"), F.col("_ln").alias("_fl"), F.col("_l").alias("_fx")), ["_fd", "_fl"])
-    settled = stored(b.select("a", F.struct(F.col("_fx").alias("_l"), F.col("_fn").alias("_n")).alias("b")).where(_overlaps("a", "b")).select("a._doc", "a._ln").distinct(), "settled")
+    tried = part.alias("a").join(few.alias("b"), F.expr(_SIMILAR)).selectExpr("a._doc", "a._ln", f"struct({_APART} - abs(a._n - b._n) as d, b._doc, b._ln) as _o")
+    best = tried.groupBy("_doc", "_ln").agg(F.min("_o").alias("_o")).selectExpr("_doc", "_ln", "_o._doc as _fd", "_o._ln as _fl")
+    pairs = stored(best.union(same.where("not _sure").select("_doc", "_ln", "_fd", "_fl")), "pairs")
+    ids = lambda df, *names: df.select(*names).toDF("_doc", "_ln")
+    wanted = ids(part, "_doc", "_ln").union(ids(near, "_doc", "_ln")).union(ids(pairs, "_doc", "_ln")).union(ids(pairs, "_fd", "_fl"))
+    texts = stored(_words_of(own, wanted, filter_bits), "words")
+    a = pairs.join(texts, ["_doc", "_ln"]).select("_fd", "_fl", F.struct("_doc", "_ln", "_w").alias("a"))
+    b = a.join(texts.selectExpr("_doc as _fd", "_ln as _fl", "struct(_w) as b"), ["_fd", "_fl"])
+    settled = stored(b.where(_EXACT).select("a._doc", "a._ln").union(same.where("_sure").select("_doc", "_ln")).distinct(), "settled")
 
     # The others meet all earlier lines that pass the filters, in a semi join on whole sets that ends at the first repeat.
-    open_ = stored(part.join(settled, ["_doc", "_ln"], "left_anti"), "open")
-    rest = stored(near.alias("b").join(open_.alias("a"), F.expr(_SIMILAR), "left_semi"), "rest")
-    hashed = _text_of(own, open_.select("_doc", "_ln").union(rest.select("_doc", "_ln")).distinct(), filter_bits).selectExpr("_doc", "_ln", f"transform(array_distinct({_WORDS}), x -> xxhash64(x)) as _set")
-    sets = stored(hashed, "sets")
-    exact = f"{_SIMILAR} and size(array_intersect(a._set, b._set)) >= {_NEED}"
-    similar = open_.join(sets, ["_doc", "_ln"]).alias("a").join(rest.join(sets, ["_doc", "_ln"]).alias("b"), F.expr(exact), "left_semi").select("_doc", "_ln")
-    return stored(similar.union(settled).union(same).distinct(), "repeated")
+    open_ = stored(part.join(settled, ["_doc", "_ln"], "left_anti").join(texts, ["_doc", "_ln"]), "open")
+    rest = near.where(maybe_among(open_, filter_bits, "_tok")("_tok")).alias("b").join(open_.drop("_w").alias("a"), F.expr(_SIMILAR), "left_semi").join(texts, ["_doc", "_ln"])
+    similar = open_.alias("a").join(rest.alias("b"), F.expr(f"{_SIMILAR} and {_EXACT}"), "left_semi").select("_doc", "_ln").distinct()
+    out = stored(similar.union(settled), "repeated")
+    for df in (sets, same, part, near, pairs, texts, settled, open_):
+        dropped(df)
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -114,28 +128,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The first of similar lines stays, in order of document id and line number. A document that repeats a line within
     itself loses the later one too. Lines of under least_words distinct words, and blank ones, stay. Null texts and
     rows without an id are not touched. Rows that repeat an id and text lose the same lines; of different texts under
-    one id, lines are told apart by their number only. _emptied: the removal left no word.
+    one id, lines are told apart by their number only. _emptied: the removal left no word. Columns of docs by the names
+    of the three new ones are replaced, whatever their case; other names can't clash. An empty table gives an empty one.
     """
     gone = repeated_lines(docs, id_col, text_col, least_words, filter_bits)
-    lists = gone.groupBy("_doc").agg(F.sort_array(F.collect_set("_ln")).alias("_removed"))
-    some = bucket_filter(gone, "_doc", filter_bits)
-    name = "`" + id_col.replace("`", "``") + "`"
-    hit = F.expr(f"coalesce({some.replace('_doc', name)}, false)")
+    lists = gone.groupBy(F.col("_doc").alias("_gone")).agg(F.sort_array(F.collect_set("_ln")).alias("_removed"))
+    names = [c for c in docs.columns if c.lower() not in ("_n_lines", "_removed", "_emptied")]
+    # The row travels as one struct, so its names meet none of ours.
+    rows = docs.select(F.col(quoted(id_col)).alias("_doc"), F.col(quoted(text_col)).alias("_text"), F.struct(*(F.col(quoted(c)) for c in names)).alias("_row"))
+    hit = F.coalesce(maybe_among(gone, filter_bits, "_doc")("_doc"), F.lit(False))
     none = F.expr("cast(array() as array<int>)")
-    left = docs.where(hit).join(lists.withColumnRenamed("_doc", "_gone"), docs[id_col] == F.col("_gone"), "left")
-    rest = docs.where(~hit).withColumns({"_gone": docs[id_col], "_removed": none}).select(*left.columns)
-    out = left.withColumn("_removed", F.coalesce("_removed", none)).union(rest)
-    lines = F.split(F.col(text_col), "\n")
-    cleaned = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    out = out.withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn(text_col, F.when(F.size("_removed") > 0, cleaned).otherwise(F.col(text_col)))
-    return out.withColumn("_emptied", (F.size("_removed") > 0) & ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).drop("_gone")
+    left = rows.where(hit).join(lists, F.col("_doc") == F.col("_gone"), "left").select("_text", "_row", F.coalesce("_removed", none).alias("_removed"))
+    out = left.union(rows.where(~hit).select("_text", "_row", none.alias("_removed")))
+    lines = F.split("_text", "\n")
+    cleaned = F.when(F.size("_removed") > 0, F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n")).otherwise(F.col("_text"))
+    out = out.select("_row", "_removed", F.coalesce(F.size(lines), F.lit(0)).alias("_n_lines"), cleaned.alias("_left"))
+    kept: list[Column] = [(F.col("_left") if c.lower() == text_col.lower() else F.col("_row").getField(c)).alias(c) for c in names]
+    return out.select(*kept, "_n_lines", "_removed", ((F.size("_removed") > 0) & ~F.coalesce(F.col("_left").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).alias("_emptied"))
 
 
 #: DuckDB SQL of the op5 query.
 OP5_SQL = r"""
 with l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as ln, unnest(string_split(text, chr(10))) as line from documents),
 t as materialized (select doc_id, ln, list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+')) as w from l),
-s as materialized (select doc_id, ln, w, len(w) as n from t where len(w) >= 4),
+s as materialized (select doc_id, ln, w, len(w) as n from t where len(w) >= 1),
 f as materialized (select distinct list_sort(w) as w, min((doc_id, ln)) as first from s group by list_sort(w)),
 r as materialized (select first[1] as doc_id, first[2] as ln, w, len(w) as n from f),
 k as materialized (select doc_id, ln, n, w, unnest(w) as k from r),

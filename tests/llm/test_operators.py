@@ -154,7 +154,7 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 for i in range(40)) and got[300] == 200 and len(got) == 61 + 40 + 2
 
 
-def brute_lines(texts, least=4):
+def brute_lines(texts, least=1):
     seen, out = [], []
     for t in texts:
         gone = []
@@ -190,6 +190,14 @@ def test_line_dedup_against_brute_force(spark):
     assert got[len(texts) - 1]._n_lines == texts[0].count("\n") + 1 and got[0].kept is True
 
 
+def test_line_dedup_beside_columns_of_its_own_names(spark):
+    rows = [(1, "a b c d\nx", 5, "k", [9], True, 7), (2, "y\nd c b a", 6, None, None, False, 8), (None, "a b c d", 7, "z", [1], None, 9)]
+    docs = spark.createDataFrame(rows, "`doc id` long, text string, _doc int, `_ln.x` string, _Removed array<int>, _emptied boolean, _gone int")
+    got = lines.line_dedup(docs, id_col="doc id")
+    assert got.columns == ["doc id", "text", "_doc", "_ln.x", "_gone", "_n_lines", "_removed", "_emptied"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "a b c d\nx", 5, "k", 7, 2, [], False), (2, "y", 6, None, 8, 2, [1], False), (None, "a b c d", 7, "z", 9, 1, [], False)], key=repr)
+
+
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_line_dedup_of_short_lines_against_brute_force(spark, least):
     rng = random.Random(10)
