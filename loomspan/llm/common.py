@@ -20,8 +20,8 @@ ALNUM = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in
 #: Words of a text as a regular expression that Spark and DuckDB both read.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Bits of a filter on ids, 256 KiB at any size of the data.
-FILTER_BITS = 1 << 21
+#: Bits of a filter on ids, 512 KiB at any size of the data.
+FILTER_BITS = 1 << 22
 
 _CACHE_WORDS = 400_000
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -66,12 +66,11 @@ def maybe_among(ids: DataFrame, bits: int, *columns: str) -> Callable[..., Colum
     bits / 8 bytes at any size of the data. They reach the executors as the value of a scalar subquery, so no plan's
     text holds them.
     """
-    at = lambda cols: F.pmod(F.xxhash64(*(F.col(c) for c in cols)), F.lit(bits))
-    rows = ids.select(at(columns).alias("_h")).groupBy(F.expr("_h div 64").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_h % 64 as int)))").alias("_b")).collect()
-    words = [0] * (bits // 64)
-    for r in rows:
-        words[r._w] = r._b
-    held = ids.sparkSession.createDataFrame([(words,)], "b array<bigint>").scalar()
+    at = lambda cols: F.pmod(F.xxhash64(*(F.col(c) if isinstance(c, str) else c for c in cols)), F.lit(bits))
+    rows = ids.select(at(columns).alias("_h")).groupBy(F.expr("_h div 64").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_h % 64 as int)))").alias("_b")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[rows.column("_w").to_numpy()] = rows.column("_b").to_numpy()
+    held = ids.sparkSession.createDataFrame([(words.tolist(),)], "b array<bigint>").scalar()
     return lambda *cols: F.getbit(F.get(held, (at(cols) / 64).cast("int")), (at(cols) % 64).cast("int")) == 1
 
 

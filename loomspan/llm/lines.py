@@ -29,15 +29,15 @@ TRIED = 16
 ONE_LONG = 100
 
 _BLANKS = r"'[\\t\\r\\f\\x0B]'"
-_NEED = "((4 * (a._n + b._n) + 8) div 9)"
-#: Parities that differ: no more than words that do. A set of two longs is folded to meet one of one.
-_APART = f"if(a._n <= {ONE_LONG} or b._n <= {ONE_LONG}, bit_count(a._b0 ^ a._b1 ^ b._b0 ^ b._b1), bit_count(a._b0 ^ b._b0) + bit_count(a._b1 ^ b._b1))"
-#: The rarest common word has as many words before it, in both, as may differ at most.
-_SIMILAR = f"""a._tok = b._tok and (a._doc > b._doc or (a._doc = b._doc and a._ln > b._ln))
-  and 5 * least(a._n, b._n) >= 4 * greatest(a._n, b._n)
-  and least(a._n - a._pos, b._n - b._pos) >= {_NEED}
-  and a._pos + b._pos <= a._n + b._n - 2 * {_NEED}
-  and {_APART} <= a._n + b._n - 2 * {_NEED}"""
+#: A bound on the words that differ, by parities that do; a set of two longs is folded to meet one of one.
+_FOLDED = "bit_count(a._b0 ^ a._b1 ^ b._b0 ^ b._b1)"
+_APART = f"if(a._n <= {ONE_LONG} or b._n <= {ONE_LONG}, {_FOLDED}, bit_count(a._b0 ^ b._b0) + bit_count(a._b1 ^ b._b1))"
+#: Similar sets differ in a ninth of their summed sizes at most. The rarest common word has no more than these before it.
+_SIMILAR = f"""a._tok = b._tok and 9 * {_FOLDED} <= a._n + b._n and (a._doc > b._doc or (a._doc = b._doc and a._ln > b._ln))
+  and 5 * least(a._n, b._n) >= 4 * greatest(a._n, b._n) and 9 * (a._pos + b._pos) <= a._n + b._n
+  and 9 * least(a._n - a._pos, b._n - b._pos) >= 4 * (a._n + b._n) and 9 * {_APART} <= a._n + b._n"""
+#: Sizes within a fourth of each other are in the same band or in neighbouring ones.
+_BAND = "cast(floor(ln(_n) * 4.48D) as int)"
 _EXACT = "9 * size(array_intersect(a._w, b._w)) >= 4 * (size(a._w) + size(b._w))"
 
 
@@ -52,14 +52,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _rarity(own: DataFrame) -> list[int]:
     """A class for each bucket of word hashes, by powers of two of how often its words occur in all documents."""
-    counts = _lines(own).selectExpr("explode(split(lower(_l), ' ')) as _w").groupBy(F.expr(f"cast(xxhash64(_w) & {RARITY_BUCKETS - 1} as int)").alias("_b")).count().collect()
+    counts = own.selectExpr(r"explode(split(replace(lower(_text), '\n', ' '), ' ')) as _w").groupBy(F.expr(f"cast(xxhash64(_w) & {RARITY_BUCKETS - 1} as int)").alias("_b")).count().collect()
     classes = [0] * RARITY_BUCKETS
     for b, n in counts:
         classes[b] = min(31, int(math.log2(n + 1)))
     return classes
 
 
-def _measured(own: DataFrame, least_words: int) -> DataFrame:
+def _measured(own: DataFrame) -> DataFrame:
     """Each line: _n words, digests _s1 and _s2 of their set and _h of the line itself, parities, and the rarest words _p.
 
     A word is its class of rarity and 58 bits of its hash, so plain order is order by rarity. Nothing in the words'
@@ -72,7 +72,7 @@ def _measured(own: DataFrame, least_words: int) -> DataFrame:
         f"if(size(_t) <= {ONE_LONG}, 0L, aggregate(_t, 0L, (m, x) -> if((x & 64) = 0, m, {flip}))) as _b1",
     ]
     sets = _lines(own).selectExpr("_doc", "_ln", "xxhash64(_l) as _h", f"array_distinct(sort_array(transform({_words('_l')}, x -> {token}))) as _t")
-    return sets.selectExpr("_doc", "_ln", "_h", "size(_t) as _n", "xxhash64(_t) as _s1", "xxhash64(_t, 1) as _s2", *parity, "slice(_t, 1, size(_t) - (4 * size(_t) + 4) div 5 + 1) as _p").where(f"_n >= {max(1, least_words)}")
+    return sets.selectExpr("_doc", "_ln", "_h", "size(_t) as _n", "xxhash64(_t) as _s1", "xxhash64(_t, 1) as _s2", *parity, "slice(_t, 1, size(_t) - (4 * size(_t) + 4) div 5 + 1) as _p")
 
 
 def _words_of(own: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
@@ -85,7 +85,8 @@ def _words_of(own: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """_doc, _ln of each line that repeats an earlier one (similarity 0.8 or more of their sets of words)."""
     own = docs.select(F.col(quoted(id_col)).alias("_doc"), F.col(quoted(text_col)).alias("_text")).where("_doc is not null and _text is not null")
-    measured = stored(_measured(own, least_words), "lines")
+    table = stored(_measured(own), "lines")
+    measured = table.where(f"_n >= {max(1, least_words)}")  # not before: the sets would be made once more for it
 
     # Lines of the same set: the first stands for the others. A copy of the first is surely the same; others are looked at.
     sets = measured.groupBy("_s1", "_s2").agg(F.min(F.struct("_doc", "_ln", "_h", "_n", "_b0", "_b1", "_p")).alias("_f"), F.count("*").alias("_k")).select("_s1", "_s2", "_k", "_f.*")
@@ -93,12 +94,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = sets.where("_k > 1").selectExpr("_s1 as _c1", "_s2 as _c2", "_doc as _fd", "_ln as _fl", "_h as _fh")
     same = measured.select("_doc", "_ln", "_h", "_s1", "_s2").join(firsts, (F.col("_s1") == F.col("_c1")) & (F.col("_s2") == F.col("_c2"))).where("_doc <> _fd or _ln <> _fl")
     same = stored(same.selectExpr("_doc", "_ln", "_fd", "_fl", "_h = _fh as _sure"), "same")
-    dropped(measured)
+    dropped(table)
 
     # Lines for which an earlier one passes all filters, and the earlier lines that pass for one of them.
     words = sets.where(f"_n >= {LEAST_UNEQUAL}").selectExpr("_doc", "_ln", "_n", "_b0", "_b1", "posexplode(_p) as (_pos, _tok)")
     part = stored(words.alias("a").join(words.alias("b"), F.expr(_SIMILAR), "left_semi"), "candidates")
-    near = stored(words.where(maybe_among(part, filter_bits, "_tok")("_tok")).alias("b").join(part.alias("a"), F.expr(_SIMILAR), "left_semi"), "near")
+    bands = part.selectExpr("_tok", f"explode(array({_BAND} - 1, {_BAND}, {_BAND} + 1)) as _band").distinct()
+    near = stored(words.where(maybe_among(bands, filter_bits, "_tok", "_band")("_tok", F.expr(_BAND))).alias("b").join(part.alias("a"), F.expr(_SIMILAR), "left_semi"), "near")
 
     # The likeliest of the first few earlier lines of its words is tried for each line; nearly all repeats show there.
     few = near.withColumn("_r", F.expr("row_number() over (partition by _tok order by _doc, _ln)")).where(f"_r <= {TRIED}")
