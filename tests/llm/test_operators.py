@@ -1,6 +1,8 @@
 """Operators of the training-data pipeline on small literal tables, against brute force, and on odd input."""
 
+import datetime
 import hashlib
+import hmac
 import random
 import re
 import textwrap
@@ -374,10 +376,80 @@ def test_pseudonyms_keep_form_and_links(spark):
     assert re.match(r"call \+1 \(\d{3}\) \d{3}-\d{4}$", got[3]) and "555-1234" not in got[3]
     assert got[4].startswith("999.1.1.1 ") and got[4] != texts[4]
     assert got[5] is None and got[6] == "" and re.match(r"password=[a-z]{4}\d{4}[a-z]{4}$", got[7])
-    n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x"))
-    assert n.select(pii.permuted(F.col("x"), 10, F.lit("k")).alias("y")).distinct().count() == 1000
-    days = spark.range(0, 73049, 7).select(pii._date(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd"), F.lit("k")).alias("y"))
-    assert days.where("y is not null").distinct().count() == 10436
+    n, k = pii.keyed(spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x")), "k")
+    assert n.select(pii.permuted(F.col("x"), 10, k).alias("y")).distinct().count() == 1000
+
+
+def test_pseudonyms_of_dates_are_one_to_one(spark):
+    """All texts of all forms over thirteen years: nothing shared, nothing changes its form."""
+    day = "date_add(date'1999-12-28', cast(id as int))"
+    forms = ["yyyy-MM-dd", "dd.MM.yyyy", "d.M.yyyy", "dd.M.yyyy", "d.MM.yyyy", "MM/dd/yyyy", "M/d/yyyy", "M/dd/yyyy", "MM/d/yyyy", "dd/MM/yyyy", "d/M/yyyy", "dd/M/yyyy"]
+    texts = spark.range(5000).selectExpr(f"explode(array({', '.join(f"date_format({day}, '{f}')" for f in forms)})) as x").distinct()
+    texts, k = pii.keyed(texts, "k")
+    got = texts.select("x", pii._date(F.col("x"), k.of("date")).alias("y"))
+    shape = lambda c: F.regexp_replace(c, "[0-9]", "9")
+    r = got.agg(F.count("*").alias("n"), F.count("y").alias("m"), F.countDistinct("y").alias("d"), F.sum((shape("x") == shape("y")).cast("int")).alias("s"), F.sum((F.col("x") == F.col("y")).cast("int")).alias("e")).first()
+    assert r.n == r.m == r.d == r.s and r.n > 30000 and r.e < 50
+
+
+def plain_feistel(x, kind, key=b"k", piece=0):
+    """The network on decimal digits in plain Python."""
+    n, u = len(x), len(x) // 2
+    left, right = int(x[:u] or 0), int(x[u:])
+    for i in range(8):
+        mac = hmac.new(key, f"{kind}|{piece}|{i}|{n}|{right}".encode(), hashlib.sha256).hexdigest()
+        left, right = right, (left + int(mac[:14], 16)) % 10 ** (u if i % 2 == 0 else n - u)
+    return (str(left).zfill(u) if u else "") + str(right).zfill(n - u)
+
+
+def test_pseudonyms_against_plain_python(spark):
+    rng = random.Random(14)
+
+    def luhn(d):
+        s = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+        return d + str(-s % 10)
+
+    def day(text):
+        x = str((datetime.date.fromisoformat(text) - datetime.date(1900, 1, 1)).days)
+        while True:
+            x = plain_feistel(x.zfill(5), "date")
+            if int(x) < 73049:
+                return str(datetime.date(1900, 1, 1) + datetime.timedelta(int(x)))
+
+    def ssn(x):
+        while True:
+            x = plain_feistel(x, "ssn")
+            if not (x[:3] in ("000", "666") or x[0] == "9" or x[3:5] == "00" or x[5:] == "0000"):
+                return f"{x[:3]}-{x[3:5]}-{x[5:]}"
+
+    def iban(bban):
+        new = plain_feistel(bban, "ibandigits")
+        return "DE" + str(98 - int(new + "131400") % 97).zfill(2) + new
+
+    cases = []
+    for _ in range(30):
+        c = luhn("4" + "".join(rng.choices("0123456789", k=14)))
+        cases.append((c, luhn(c[:4] + plain_feistel(c[4:15], "card"))))
+        d = str(datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049)))
+        cases.append((d, day(d)))
+        s = f"{rng.randrange(1, 600):03}{rng.randrange(1, 100):02}{rng.randrange(1, 10000):04}"
+        cases.append((f"{s[:3]}-{s[3:5]}-{s[5:]}", ssn(s)))
+        b = "".join(rng.choices("0123456789", k=18))
+        cases.append(("DE" + str(98 - int(b + "131400") % 97).zfill(2) + b, iban(b)))
+        p = "".join(rng.choices("0123456789", k=10))
+        cases.append((f"+1 ({p[:3]}) {p[3:6]}-{p[6:]}", "+1 ({}{}{}) {}{}{}-{}{}{}{}".format(*plain_feistel(p, "phone"))))
+    left = ["4111111111111112", "9807915762804490", "000-12-3456", "DE00370400440532013000", "1999-02-29", "02/30/2020", "31.02.2001", "999.1.1.1", "v1.2.3.4", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "password: required", "117-555-1234"]
+    cases += [(x, x) for x in left]
+    got = pii.pseudonymise(table(spark, [f"see {a} there" for a, _ in cases]), "k").orderBy("doc_id").collect()
+    assert [r.text for r in got] == [f"see {b} there" for _, b in cases]
+    assert [r.pii_changed for r in got] == [1] * 150 + [0] * len(left)
+
+
+def test_pseudonyms_hide_the_key_and_keep_columns(spark):
+    docs = spark.createDataFrame([(1, "a.b@x.org", 5, 6, b"7")], "id long, text string, _pii int, PII_changed int, _ik binary")
+    out = pii.pseudonymise(docs, "very-secret-key")
+    assert out.columns == ["id", "text", "_pii", "_ik", "pii_changed"] and out.first()[2:] == (5, b"7", 1)
+    assert "very-secret" not in out._jdf.queryExecution().toString() and "76657279" not in out._jdf.queryExecution().toString()
 
 
 def test_language_held_out(spark, sf):
