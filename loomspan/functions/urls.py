@@ -167,7 +167,7 @@ def domain_kind(name: Column) -> Column:
 def redirect_target(base: Column, headers: Column) -> Column:
     """Where a response leads by its one Location header (headers: array of name, value), without fragment; null unless there is exactly one."""
     found = F.filter(headers, lambda h: F.lower(h["name"]) == "location")
-    return F.when(F.size(found) == 1, public_link(base, F.element_at(found, 1)["value"]))
+    return F.when(F.size(found) == 1, public_link(base, F.get(found, F.lit(0))["value"]))
 
 
 def cacheable(headers: Column) -> Column:
