@@ -23,7 +23,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a filter on ids, 512 KiB at any size of the data.
 FILTER_BITS = 1 << 22
 
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
+#: Rows that a Python worker turns into objects at once; an Arrow batch may hold many more.
+_PIECE = 512
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -122,15 +124,21 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that the objects made of a batch stay few whatever its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _PIECE):
+            yield batch.slice(at, _PIECE)
+
+
 def texts_map(df: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
     """mapInArrow over the named columns. work(batch) returns a dict of columns, in the order of the schema."""
     names = T.StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                got = work(batch)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in (got[n] for n in names)], names=names)
+        for batch in pieces(batches):
+            got = work(batch)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in (got[n] for n in names)], names=names)
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, WordHashes, as_bytes, grams, mix, stored, texts_map, without
+from .common import ALNUM, WordHashes, as_bytes, grams, mix, pieces, stored, texts_map, without
 
 SPAN = 10
 GRAM = 6
@@ -152,10 +152,10 @@ def winnow_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     held = index_of(benchmark, item_col, item_text, broadcast_bytes)
     if held is None:
         return _joined(docs, items, id_col, text_col)
-    none = digest(())
+    none, hashes = digest(()), WordHashes()
 
     def work(batch: pa.RecordBatch) -> dict:
-        index, hashes = held.value, WordHashes()
+        index = held.value
         n_words, n_hit, n_items, sha = [], [], [], []
         for text in as_bytes(batch, text_col):
             words = words_of(text)
@@ -174,8 +174,10 @@ def winnow_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 def _fingerprints(table: DataFrame, key: str, text: str, lengths: list[int] | None) -> DataFrame:
     """Distinct fingerprints of each row; short ones of the row's own length (lengths None) or of all given lengths."""
 
+    hashes = WordHashes()
+
     def work(batch: pa.RecordBatch) -> dict:
-        hashes, ids, out = WordHashes(), [], []
+        ids, out = [], []
         for i, t in zip(batch.column(key).to_pylist(), as_bytes(batch, text)):
             words = words_of(t)
             h = hashes.of(words)
@@ -209,8 +211,9 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Da
     texts = rows.dropDuplicates(["_key"]).select("_key", "_text")
     both = pairs.join(texts, "_key").join(items.select("_item", "item", "words"), "_item")
 
+    hashes = WordHashes()
+
     def work(batch: pa.RecordBatch) -> dict:
-        hashes = WordHashes()
         keys, names, starts, ends = [], [], [], []
         for key, name, doc, item in zip(batch.column("_key").to_pylist(), batch.column("item").to_pylist(), as_bytes(batch, "_text"), as_bytes(batch, "words")):
             index = Index([(name, item)])
@@ -261,7 +264,7 @@ def clean_of_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     def work(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             clean = []
             for text in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist():
                 words = words_of(text)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, as_bytes, in_slices, mix, runs, shingle_set, stored, texts_map, without
+from .common import LOWER, WordHashes, as_bytes, in_slices, mix, quoted, runs, shingle_set, stored, texts_map, without
 from .graph import connected_components
 
 REGISTERS = 252
@@ -165,8 +165,9 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, words: int) ->
     """_id, n_shingles, _set (digest of the set; null if empty), _regs of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    hashes = WordHashes()
+
     def work(batch: pa.RecordBatch) -> dict:
-        hashes = WordHashes()
         texts = as_bytes(batch, text_col)
         n, digests, regs = [], [], []
         for lo, hi in in_slices(texts):
@@ -203,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     members = groups.join(cut, "component").join(classes, F.col("node") == F.col("_rep")).selectExpr("component", "node", "_regs", "_blocks", "cast(pmod(xxhash64(node, 7), _blocks) as int) as _b")
     # A component of several blocks is met by each pair of its blocks; a block goes to as many tasks as there are blocks.
     dealt = members.selectExpr("component", "node", "_regs", "_b", "explode(sequence(0, _blocks - 1)) as _o").selectExpr("xxhash64(component, least(_b, _o), greatest(_b, _o)) as _task", "component", "node", "_regs", "_b", "_o")
-    texts = docs.select(F.col(id_col).alias("_tid"), F.col(text_col).alias("_text"))
+    texts = docs.select(F.col(quoted(id_col)).alias("_tid"), F.col(quoted(text_col)).alias("_text"))
     if docs.columns.count(id_col) == 1:
         texts = texts.where("_tid is not null and _text is not null")
     full = dealt.join(texts, dealt["node"] == texts["_tid"]).select("_task", "component", "node", "_regs", "_b", "_o", "_text")
@@ -235,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     arrow = to_arrow_type(groups.schema["node"].dataType)
     links = stored(full.repartition("_task").sortWithinPartitions("_task").mapInArrow(confirm, f"_a {kind}, _b {kind}"), "links")
     # A set that another row of the same id also has joins its class by the id.
-    own = known.select("_id", "_set").distinct().join(classes.select("_set", "_rep"), "_set")
+    own = stored(known.select("_id", "_set").distinct(), "own").join(classes.select("_set", "_rep"), "_set")
     split = own.where("_id <> _rep").select(F.col("_id").alias("_a"), F.col("_rep").alias("_b"))
     multi = own.groupBy("_id").agg(F.countDistinct("_set").alias("_k")).where("_k > 1").select("_id")
     extra = split.join(multi, split["_a"] == multi["_id"], "left_semi")
@@ -246,7 +247,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a near-duplicate of a smaller id; all columns kept."""
+    """docs without those that have a near-duplicate of a smaller id; all columns kept.
+
+    Null and empty texts, and rows without an id, stay. Rows that repeat an id and its text stay or go together. An empty
+    table stays empty. No column is added, so none can clash.
+    """
     found = stored(near_duplicates(docs, percent, words, id_col, text_col), "near-duplicates")
     return without(docs, id_col, found.where("not kept").select(id_col))
 

@@ -82,9 +82,11 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    made: list = []
+
     def work(batch: pa.RecordBatch) -> dict:
-        compress = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress
-        rows = [measures(t, compress, bands, chunk) for t in as_bytes(batch, text_col)]
+        made or made.append(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress)
+        rows = [measures(t, made[0], bands, chunk) for t in as_bytes(batch, text_col)]
         n, chars, symbols, dup, rep, ratio, chunks, bad, good = map(list, zip(*rows))
         failed = [a < MIN_WORDS or 100 * r > REPEAT_PERCENT * a for a, r in zip(n, rep)]
         long = pa.int64()

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, dropped, held_out, quoted, stored, texts_map
+from .common import as_bytes, dropped, held_out, pieces, quoted, stored, texts_map
 
 #: Labelled documents of each class that are learned from, at most, and twice as many others.
 SAMPLE = 3000
@@ -71,7 +71,7 @@ SEEDS = frozenset().union(*LEXICON_KEYS, PATTERN_KEYS.values())
 class Found(dict):
     """Keys of words that matter to a caller, remembered up to a bound."""
 
-    def __init__(self, keep=None, most: int = 300_000):
+    def __init__(self, keep=None, most: int = 100_000):
         self.keep, self.most = keep, most
 
     def __missing__(self, word: str):
@@ -257,7 +257,7 @@ def _counted(sample: DataFrame) -> DataFrame:
     """_k, _g, _n: how many texts of group _g have the feature; -1 stands for any text. _g: 1 clean, 2 toxic, 0 not labelled; 3 more if a fixed voter speaks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Found()
+        found = Found(most=30_000)
         held: list[list[np.ndarray]] = [[] for _ in range(6)]
 
         def sums() -> Iterator[pa.RecordBatch]:
@@ -268,13 +268,13 @@ def _counted(sample: DataFrame) -> DataFrame:
                     arrays.clear()
 
         size = 0
-        for batch in batches:
+        for batch in pieces(batches):
             for t, y in zip(as_bytes(batch, "_text"), batch.column("_y").to_pylist()):
                 keys = text_keys(_text(t), found)
                 g = (0 if y is None else 1 + y) + 3 * (not keys.isdisjoint(SEEDS))
                 held[g].append(np.fromiter((-1, *keys), np.int64))
                 size += len(keys)
-                if size > 1_000_000:
+                if size > 500_000:
                     yield from sums()
                     size = 0
         yield from sums()
@@ -323,8 +323,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     place = {k: i for i, k in enumerate(keys)}
     held = docs.sparkSession.sparkContext.broadcast(place)
 
+    words: list = []
+
     def work(batch: pa.RecordBatch) -> dict:
-        found = Found(held.value)
+        if not words:
+            words.append(Found(held.value))
+        found = words[0]
         return {"_id": batch.column("_id"), "_y": batch.column("_y"), "_at": pa.array([sorted(held.value[k] for k in text_keys(_text(t), found) if k in held.value) for t in as_bytes(batch, "_text")], pa.list_(pa.int32()))}
 
     kind = drawn.schema["_id"].dataType.simpleString()
@@ -353,8 +357,12 @@ def _scored(docs: DataFrame, model: Model, id_col: str, text_col: str, threshold
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    scorers: list = []
+
     def work(batch: pa.RecordBatch) -> dict:
-        score = held.value.scorer()
+        if not scorers:
+            scorers.append(held.value.scorer())
+        score = scorers[0]
         got = [score(_text(t)) for t in as_bytes(batch, "_text")]
         return {"_id": batch.column("_id"), "_held": batch.column("_held"), "score": pa.array(got, pa.float64())}
 
@@ -373,7 +381,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def work(batches):
         score = held.value.scorer()
-        for batch in batches:
+        for batch in pieces(batches):
             keep = [score(_text(t)) < threshold for t in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
