@@ -107,10 +107,15 @@ def truncated_query(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.rtrim(cut))
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that fold to others: sharp s to ss, final sigma to sigma, long s to s."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+
+
 def keyword_score(goal: Column, url: Column, anchor: Column) -> Column:
     """1.0 if a word of the goal occurs in the url or the anchor, cases folded; else 0.0."""
-    hay = F.lower(F.concat_ws(" ", url, anchor))
-    words = F.filter(F.split(F.lower(F.trim(goal)), r"\s+"), lambda t: t != "")
+    hay = folded(F.concat_ws(" ", url, anchor))
+    words = F.filter(F.split(folded(F.trim(goal)), r"\s+"), lambda t: t != "")
     return F.when(F.exists(words, lambda t: F.contains(hay, t)), 1.0).otherwise(0.0)
 
 

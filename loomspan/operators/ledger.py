@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def entry_digest(seq: Column, event: Column, payload: Column) -> Column:
-    """SHA-256 of an entry: its fields, each after its length in bytes."""
+def entry_digest(previous: Column, seq: Column, event: Column, payload: Column) -> Column:
+    """SHA-256 of an entry: the digest before it and its fields, each after its length in bytes."""
     field = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
-    return F.sha2(F.concat(field(seq.cast("string")), field(event), field(F.coalesce(payload, F.lit("")))).cast("binary"), 256)
+    return F.sha2(F.concat(*(field(F.coalesce(c, F.lit(""))) for c in (previous, seq.cast("string"), event, payload))).cast("binary"), 256)
 
 
 def hash_chain(log: DataFrame, run: list[str], seq: str, event: str, payload: str) -> DataFrame:
     """log with digest and previous_sha256: the digest of the entry before it in its run, null for the first.
 
-    An entry's digest covers its own fields, so a run of any length is chained by one window.
+    A digest covers the one before it, so whoever changes an entry has to change all that follow. That makes a run
+    sequential: its sorted entries pass through one task, which holds one digest of them at a time.
     """
-    out = log.withColumn("digest", entry_digest(F.col(seq), F.col(event), F.col(payload)))
-    return out.withColumn("previous_sha256", F.lag("digest").over(W.partitionBy(*run).orderBy(seq)))
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None
+        for batch in batches:
+            runs = list(zip(*(batch.column(c).to_pylist() for c in run)))
+            digests, before = [], []
+            for key, *fields in zip(runs, *(batch.column(c).cast(pa.string()).to_pylist() for c in (seq, event, payload))):
+                if key != held:
+                    held, last = key, None
+                parts = [(x or "").encode() for x in (last, *fields)]
+                before.append(last)
+                last = hashlib.sha256(b"".join(b"%d:%s" % (len(x), x) for x in parts)).hexdigest()
+                digests.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string()), pa.array(before, pa.string())], names=[*batch.schema.names, "digest", "previous_sha256"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema)
+    return log.repartition(*run).sortWithinPartitions(*run, seq).mapInArrow(chained, f"{schema}, digest string, previous_sha256 string")
 
 
 def chain_violations(log: DataFrame, run: list[str], seq: str, event: str, payload: str, first: int = 0) -> DataFrame:
-    """run, seq and reason of entries that are not numbered one after the other from first, that were changed, or that don't name the digest before them."""
+    """run, seq and reason of entries that are not numbered one after the other from first, that were changed, or that don't name the digest before them.
+
+    Each entry is held against what it names, so all entries of a run are checked at once.
+    """
     w = W.partitionBy(*run).orderBy(seq)
-    own = entry_digest(F.col(seq), F.col(event), F.col(payload))
+    own = entry_digest(F.col("previous_sha256"), F.col(seq), F.col(event), F.col(payload))
     out = log.withColumn("_n", F.row_number().over(w) - 1 + first).withColumn("_d", F.lag("digest").over(w))
     reason = F.when(F.col(seq) != F.col("_n"), "sequence").when(F.col("digest") != own, "digest").when(~F.col("previous_sha256").eqNullSafe(F.col("_d")), "previous")
     return out.withColumn("reason", reason).where("reason is not null").select(*run, seq, "reason")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from .retrieval import blocks
 
 
 def goal_windows(docs: DataFrame, doc: str, text: str, goal: str, size: int, overlap: int, most: int) -> DataFrame:
@@ -27,9 +30,12 @@ def goal_windows(docs: DataFrame, doc: str, text: str, goal: str, size: int, ove
 
 
 def window_cosines(windows: DataFrame, key: str, vector: str, references: DataFrame, reference: str, reference_vector: str) -> DataFrame:
-    """key, cosine, reference: the best of a bounded table of references for each window; the first of equal ones."""
-    r = references.select(F.col(reference).alias("reference"), F.col(reference_vector).alias("_r"))
-    met = windows.select(F.col(key).alias("key"), F.col(vector).alias("_v")).crossJoin(F.broadcast(r)).select("key", "reference", cosine(F.col("_v"), F.col("_r")).alias("cosine"))
+    """key, cosine, reference: the best of a table of references for each window; the first of equal ones. References are met in blocks of a bounded number."""
+    own = windows.select(F.col(key).alias("key"), F.col(vector).alias("_v"))
+    met = None
+    for r in blocks(references.select(F.col(reference).alias("reference"), F.col(reference_vector).alias("_r")), "reference"):
+        part = own.join(F.broadcast(r)).select("key", "reference", cosine(F.col("_v"), F.col("_r")).alias("cosine"))
+        met = part if met is None else met.union(part)
     best = met.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("o"), "reference", "cosine")).alias("b"))
     return best.select("key", "b.cosine", "b.reference")
 
@@ -42,41 +48,56 @@ def covered(spans: DataFrame, doc: str, start: str, end: str) -> DataFrame:
     return spans.select(F.col(doc).alias("doc"), own.alias("_c")).groupBy("doc").agg(F.sum("_c").alias("covered"))
 
 
-def union_spans(spans: list[tuple[float, int, int]], length: int, most: int, room: int, padding: int) -> tuple[list[tuple[int, int]], list[str]]:
-    """Windows from scored spans, best first, and why others were left out.
-
-    A span inside a window adds nothing. A span that fits the room is padded on both sides within what is left, and windows
-    that touch become one; a span that would open one window too many, or doesn't fit, is left out with its reason.
-    """
-    windows: list[tuple[int, int]] = []
-    why = []
-    for _, a, b in sorted(spans, key=lambda s: (-s[0], s[1], s[2])):
-        if any(x <= a and b <= y for x, y in windows):
-            continue
-        used = sum(y - x for x, y in windows)
-        if b - a > room - used:
-            why.append("character_limit")
-            continue
-        pad = min(padding, (room - used - (b - a)) // 2)
-        lo, hi = max(0, a - pad), min(length, b + pad)
-        touching = [w for w in windows if w[0] <= hi and lo <= w[1]]
-        merged = (min([lo, *(x for x, _ in touching)]), max([hi, *(y for _, y in touching)]))
-        rest = [w for w in windows if w not in touching]
-        if len(rest) + 1 > most:
-            why.append("window_limit")
-            continue
-        windows = sorted([*rest, merged])
-    return windows, sorted(set(why))
-
-
-def scored_spans(spans: DataFrame, doc: str, start: str, end: str, score: str, length: str, most: int, room: int, padding: int) -> DataFrame:
-    """doc, start, end, omitted (reasons): the greedy union of each document's scored spans, whose number the windows bound."""
+class Selection:
+    """Windows of one text, apart from each other and in order, that take in spans while window count, length and room allow."""
+
+    def __init__(self, length: int, most: int, room: int, window: int, padding: int):
+        self.length, self.most, self.room, self.window, self.padding = length, most, room, window, padding
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.used = 0
+
+    def offer(self, start: int, end: int) -> str | None:
+        """Takes the span in; or says which bound it would break: max_chars or max_windows."""
+        at = bisect_right(self.starts, start)
+        if at and end <= self.ends[at - 1]:
+            return None  # it is shown already
+        spare = min(self.window, self.room - self.used) - (end - start)
+        if spare < 0:
+            return "max_chars"
+        # Padding is shared out evenly; what the text's beginning can't take goes to the end.
+        pad = min(2 * self.padding, spare)
+        low = max(0, start - pad // 2)
+        high = min(self.length, end + pad - (start - low))
+        # The windows that the padded span overlaps or touches are neighbours in the order.
+        i, j = bisect_left(self.ends, low), bisect_right(self.starts, high)
+        if i < j:
+            low, high = min(low, self.starts[i]), max(high, self.ends[j - 1])
+        freed = sum(self.ends[i:j]) - sum(self.starts[i:j])
+        if high - low > self.window or len(self.starts) - (j - i) + 1 > self.most:
+            return "max_windows"
+        if self.used - freed + high - low > self.room:
+            return "max_chars"
+        self.used += high - low - freed
+        self.starts[i:j], self.ends[i:j] = [low], [high]
+        return None
+
+
+def union_spans(spans: list[tuple[float, int, int]], length: int, most: int, room: int, padding: int, window: int | None = None) -> tuple[list[tuple[int, int]], list[str]]:
+    """Windows from (score, start, end), best first, and the bounds that kept others out. window bounds one window's length (None: the room)."""
+    kept = Selection(length, most, room, room if window is None else window, padding)
+    told = {kept.offer(a, b) for _, a, b in sorted(spans, key=lambda s: (-s[0], *s[1:]))}
+    return list(zip(kept.starts, kept.ends)), sorted(told - {None})
+
+
+def scored_spans(spans: DataFrame, doc: str, start: str, end: str, score: str, length: str, most: int, room: int, padding: int, window: int | None = None) -> DataFrame:
+    """doc, start, end, omitted (bounds that kept spans out): the union of each document's scored spans, whose number the windows bound."""
     kind = spans.schema[doc].dataType.simpleString()
     lists = spans.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(score).cast("double").alias("s"), F.col(start).cast("bigint").alias("a"), F.col(end).cast("bigint").alias("b")))).alias("_s"), F.max(length).cast("bigint").alias("_n"))
 
     def fold(batches):
         for batch in batches:
-            got = [union_spans([(x["s"], x["a"], x["b"]) for x in s], n, most, room, padding) for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            got = [union_spans([(x["s"], x["a"], x["b"]) for x in s], n, most, room, padding, window) for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             spans_ = pa.array([[{"start": a, "end": b} for a, b in w] for w, _ in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), spans_, pa.array([r for _, r in got], pa.list_(pa.string()))], names=["doc", "_w", "omitted"])
 

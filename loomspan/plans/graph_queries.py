@@ -67,17 +67,17 @@ def identity_components(spark, sf_dir):
     return G.components(m.join(first, "g"), "p_partkey", "f").select(F.col("node").alias("p_partkey"), "component")
 
 
-_DEC = """d as (select o_orderkey as seq, 'd' || o_orderkey as id, case when o_orderkey % 13 = 0 then 'retract' when o_orderkey % 5 = 0 then 'split' else 'merge' end as op, o_custkey as a, (o_custkey * 7) % 300 as b, case when o_orderkey % 4 <> 0 then cast(o_orderdate as date) end as f, case when o_orderkey % 4 = 1 then cast(o_orderdate as date) + 400 end as t from orders where o_orderkey <= 900),
+_DEC = """d as (select o_orderkey as seq, 'd' || o_orderkey as id, case when o_orderkey % 13 = 0 then 'retract' when o_orderkey % 5 = 0 then 'split' else 'merge' end as op, o_custkey as a, case when o_custkey % 7 = 0 then o_custkey + 1 else o_custkey - o_custkey % 7 end as b, case when o_orderkey % 4 <> 0 then cast(o_orderdate as date) end as f, case when o_orderkey % 4 = 1 then cast(o_orderdate as date) + 400 end as t from orders),
 gone as (select 'd' || (seq - 1) as id, seq as rs from d where op = 'retract'), act as (select d.* from d left join gone using (id) where op <> 'retract' and (rs is null or rs <= seq)),
 held as (select * from act where (f is null or f <= date '1996-06-30') and (t is null or t >= date '1996-06-30'))"""
 
 
 def _decisions(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 900")
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     day = F.to_date("o_orderdate")
     op = F.when(k % 13 == 0, "retract").when(k % 5 == 0, "split").otherwise("merge")
-    return o.select(k.alias("seq"), F.concat(F.lit("d"), k).alias("decision_id"), op.alias("operation"), F.array("o_custkey", (F.col("o_custkey") * 7) % 300).alias("members"), F.when(k % 13 == 0, F.array(F.concat(F.lit("d"), k - 1))).alias("retracts"), F.when(k % 4 != 0, day).alias("valid_from"), F.when(k % 4 == 1, F.date_add(day, 400)).alias("valid_to"))
+    return o.select(k.alias("seq"), F.concat(F.lit("d"), k).alias("decision_id"), op.alias("operation"), F.array("o_custkey", F.when(F.col("o_custkey") % 7 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey") - F.col("o_custkey") % 7)).alias("members"), F.when(k % 13 == 0, F.array(F.concat(F.lit("d"), k - 1))).alias("retracts"), F.when(k % 4 != 0, day).alias("valid_from"), F.when(k % 4 == 1, F.date_add(day, 400)).alias("valid_to"))
 
 
 @query(
@@ -108,10 +108,10 @@ def dated_disputes(spark, sf_dir):
     return G.disputes(c, "id", "rule", "subject", "target", "lo", "hi").select("left", "right", "subject", "unknown_time")
 
 
-@query("with m as (select s_suppkey::varchar as n, s_nationkey from supplier), p as (select a.n as l, b.n as r, greatest(a.n::bigint, b.n::bigint) as newest from m a join m b on a.s_nationkey = b.s_nationkey and a.n < b.n) select sha256(least(l, r) || ':' || greatest(l, r)) as pair_id, l as \"left\", r as \"right\" from p order by newest desc, pair_id limit 100")
+@query("with m as (select s_suppkey::varchar as n, s_nationkey from supplier), p as (select a.n as l, b.n as r, greatest(a.n::bigint, b.n::bigint) as newest from m a join m b on a.s_nationkey = b.s_nationkey and a.n < b.n) select sha256(least(l, r) || ':' || greatest(l, r)) as pair_id, l as \"left\", r as \"right\" from p")
 def identity_pairs(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("n"), F.col("s_suppkey").cast("bigint").alias("t"), "s_nationkey")
-    return G.identity_pairs(s, "n", ["s_nationkey"], "t", most=100).select("pair_id", "left", "right")
+    return G.identity_pairs(s, "n", ["s_nationkey"], "t").select("pair_id", "left", "right")
 
 
 @query("with recursive e as (select distinct o_custkey as p, (o_custkey * 3 + o_orderkey % 5) % 1500 as c from orders where o_custkey <> (o_custkey * 3 + o_orderkey % 5) % 1500), r as (select p as node, 0 as hops from (select distinct p from e) where p not in (select c from e) union select c, hops + 1 from r join e on e.p = r.node where hops < 4) select node, min(hops)::int as hops from r group by node")

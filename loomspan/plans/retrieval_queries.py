@@ -66,14 +66,14 @@ _COS = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embe
 
 
 @query(
-    f"""with qs as (select vec_id, embedding from embeddings where vec_id < 20),
+    f"""with qs as (select vec_id, embedding from embeddings where vec_id % 20 = 0),
 s as (select b.vec_id as query, a.vec_id, greatest(-1, least(1, {_COS})) as c from embeddings a, qs b),
 r as (select *, row_number() over (partition by query order by round(c, 9) desc, vec_id) as rank from s)
 select query, vec_id, round(c, 6) as cosine, rank::int as rank from r where rank <= 10"""
 )
 def vector_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    out = R.vector_topk(e, "vec_id", "embedding", e.where("vec_id < 20"), "vec_id", "embedding", 14)
+    out = R.vector_topk(e, "vec_id", "embedding", e.where("vec_id % 20 = 0"), "vec_id", "embedding", 14)
     w = W.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), "key")
     return out.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query", F.col("key").alias("vec_id"), F.round("cosine", 6).alias("cosine"), "rank")
 
@@ -151,6 +151,17 @@ def scored_spans(spark, sf_dir):
 QUERIES["scored_spans"] = scored_spans
 
 
+@query(
+    """with s as (select doc_id, length(text) as n, unnest([0, 1, 2, 3]) as k from documents where length(text) >= 2000), c as (select *, k * 500 + 100 as a, k * 500 + 200 as b, (doc_id * 7 + k * 3) % 11 as score from s),
+r as (select *, row_number() over (partition by doc_id order by score desc, a) as i from c) select doc_id, a - 50 as start, b + 50 as "end" from r where i <= 3"""
+)
+def padded_spans(spark, sf_dir):
+    """Spans that lie too far apart to touch: the three best, padded on both sides."""
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 2000")
+    s = docs.select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).selectExpr("doc_id", "n", "k * 500 + 100 as a", "k * 500 + 200 as b", "(doc_id * 7 + k * 3) % 11 as score")
+    return S.scored_spans(s, "doc_id", "a", "b", "score", "n", 3, 10_000, 50, 400).select(F.col("doc").alias("doc_id"), "start", "end")
+
+
 @query(
     """with w as (select doc_id, unnest(range(0, length(text), 350)) as s, length(text) as n from documents where length(text) > 0), k as (select doc_id, s, least(n, s + 400) as e from w),
 c as (select doc_id, greatest(0, e - greatest(s, coalesce(max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding), 0))) as c from k) select doc_id, sum(c)::bigint as covered from c group by doc_id"""

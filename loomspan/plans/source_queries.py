@@ -69,14 +69,28 @@ def srcset_variants(spark, sf_dir):
     return out.groupBy("page_id").agg(F.count("*").alias("candidates"), F.max(F.when(F.col("chosen"), F.col("url"))).alias("chosen"))
 
 
-@query("select l_orderkey as page, l_linenumber::bigint as index, (row_number() over (partition by l_orderkey order by l_linenumber % 2, l_linenumber) - 1)::bigint as place from lineitem")
+@query("select l_orderkey as page, l_linenumber::bigint as index, (row_number() over (partition by l_orderkey order by l_linenumber % 2, l_linenumber) - 1)::bigint as place from (select distinct l_orderkey, l_linenumber from lineitem)")
 def reading_order(spark, sf_dir):
     """The lines of each order as boxes in two columns, by odd and even numbers."""
     n = F.col("l_linenumber").cast("double")
-    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("index"), ((n % 2) * 0.5).alias("left"), (n * 0.1).alias("top"), ((n % 2) * 0.5 + 0.4).alias("right"), (n * 0.1 + 0.09).alias("bottom"))
+    b = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("index"), ((n % 2) * 0.5).alias("left"), (n * 0.1).alias("top"), ((n % 2) * 0.5 + 0.4).alias("right"), (n * 0.1 + 0.09).alias("bottom"))
     return L.ordered_boxes(b, "page")
 
 
+@query(
+    """with b as (select conv_id, turn, turn // 4 as block, turn % 4 as k from conversations where conv_id % 6 <> 5),
+o as (select *, case k when 0 then 0 when 1 then 1 when 3 then 2 else 3 end as c from b) select conv_id as page, turn as index, (row_number() over (partition by conv_id order by block, c) - 1) as place from o"""
+)
+def reading_blocks(spark, sf_dir):
+    """Turns as blocks of a heading, two boxes of a left column and one of a right column; pages with a broken box have no order."""
+    k, top = F.col("turn") % 4, F.floor(F.col("turn") / 4).cast("double")
+    b = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("page"), F.col("turn").alias("index"), F.when(k == 2, 0.55).otherwise(0.0).alias("left"), (top + F.when(k == 0, 0.0).when(k == 3, 0.55).otherwise(0.2)).alias("top"),
+        F.when(F.col("conv_id") % 6 == 5, -1.0).when(k.isin(1, 3), 0.45).otherwise(1.0).alias("right"), (top + F.when(k == 0, 0.1).when(k == 1, 0.5).when(k == 2, 0.9).otherwise(0.85)).alias("bottom"),
+    )
+    return L.ordered_boxes(b, "page", column_gap=0.05, row_gap=0.001)
+
+
 @query(r"select page_id, regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)[1] as first_link, len(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) as n from pages")
 def raw_links(spark, sf_dir):
     """Links as written, by pattern alone; the reader's own are in page_links."""

@@ -148,10 +148,14 @@ def outbox_claim(spark, sf_dir):
 
 
 _FIELD = "octet_length(encode({0}))::varchar || ':' || {0}"
-_DIG = f"sha256({_FIELD.format('event_id::varchar')} || {_FIELD.format('event_type')} || {_FIELD.format('props')})"
+_DIG = f"sha256({_FIELD.format('{0}')} || {_FIELD.format('e.event_id::varchar')} || {_FIELD.format('e.event_type')} || {_FIELD.format('e.props')})"
 
 
-@query(f"with d as (select *, {_DIG} as digest from events) select event_id, digest, coalesce(lag(digest) over (partition by user_id order by event_id), '') as previous_sha256 from d")
+@query(
+    f"""with recursive e as (select *, row_number() over (partition by user_id order by event_id) as n from events),
+c as (select user_id, n, event_id, {_DIG.format("''")} as digest, '' as previous_sha256 from e where n = 1 union all select e.user_id, e.n, e.event_id, {_DIG.format('c.digest')}, c.digest from c join e on e.user_id = c.user_id and e.n = c.n + 1)
+select event_id, digest, previous_sha256 from c"""
+)
 def ledger_hash_chain(spark, sf_dir):
     out = L.hash_chain(_events(spark, sf_dir), ["user_id"], "event_id", "event_type", "props")
     return out.select("event_id", "digest", F.coalesce("previous_sha256", F.lit("")).alias("previous_sha256"))

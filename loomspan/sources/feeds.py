@@ -65,7 +65,7 @@ def _based(e, base: str) -> str:
 
 
 def entries(raw: bytes, base: str, most: int = 1000, deepest: int = 64) -> tuple[str, list[dict], int]:
-    """(dialect, entries, how many were left out). Refuses documents that declare types or entities."""
+    """(dialect, entries, 0). Refuses documents that declare types or entities, or have more entries than the bound."""
     head = raw.lstrip()[:1]
     if head in (b"{", b"["):
         return _json_feed(raw, base, most)
@@ -79,14 +79,14 @@ def entries(raw: bytes, base: str, most: int = 1000, deepest: int = 64) -> tuple
             raise ValueError("nested too deep")
     base = _based(root, base)
     out = []
-    if root.tag == "rss":
+    if root.tag == "rss" and root.get("version") == "2.0":
         kind = "rss"
         for channel in root.iterfind("channel"):
             at = _based(channel, base)
             for item in channel.iterfind("item"):
                 here, guid = _based(item, at), item.find("guid")
                 link = _child(item, "link")
-                if not link and guid is not None and guid.get("isPermaLink", "true") != "false":
+                if not link and guid is not None and guid.get("isPermaLink", "true") == "true":
                     link = (guid.text or "").strip()
                 enclosure = item.find("enclosure")
                 urls = [link, enclosure.get("url") if enclosure is not None else None]
@@ -95,12 +95,11 @@ def entries(raw: bytes, base: str, most: int = 1000, deepest: int = 64) -> tuple
         kind = "atom"
         for item in root.iterfind(f"{_ATOM}entry"):
             here = _based(item, base)
-            urls = []
-            for v in item.iterfind(f"{_ATOM}link"):
-                if v.get("rel", "alternate") in ("alternate", "enclosure") and v.get("href"):
-                    urls.append(joined(_based(v, here), v.get("href")))
-            body = item.find(f"{_ATOM}content")
-            out.append({"id": _child(item, f"{_ATOM}id"), "title": _atom_text(item.find(f"{_ATOM}title")), "published": _child(item, f"{_ATOM}published", f"{_ATOM}updated"), "text": _atom_text(body if body is not None else item.find(f"{_ATOM}summary")) or "", "urls": [u for u in urls if u]})
+            links = [v for v in item.iterfind(f"{_ATOM}link") if v.get("href")]
+            own = [v for v in links if v.get("rel", "alternate") == "alternate"][:1]
+            urls = [joined(_based(v, here), v.get("href")) for v in (*own, *(v for v in links if v.get("rel") == "enclosure"))]
+            text = _atom_text(item.find(f"{_ATOM}summary")) or _atom_text(item.find(f"{_ATOM}content")) or ""
+            out.append({"id": _child(item, f"{_ATOM}id"), "title": _atom_text(item.find(f"{_ATOM}title")), "published": _child(item, f"{_ATOM}published", f"{_ATOM}updated"), "text": text, "urls": [u for u in urls if u]})
     elif root.tag in (f"{_SITE}urlset", f"{_SITE}sitemapindex"):
         kind = "sitemap" if root.tag.endswith("urlset") else "sitemap_index"
         for item in root:
@@ -109,7 +108,13 @@ def entries(raw: bytes, base: str, most: int = 1000, deepest: int = 64) -> tuple
             out.append({"id": loc, "title": None, "published": _child(item, f"{_SITE}lastmod"), "text": "", "urls": [to] if to else []})
     else:
         raise ValueError("no known feed")
-    return kind, out[:most], max(0, len(out) - most)
+    return kind, _bounded(out, most), 0
+
+
+def _bounded(found: list[dict], most: int) -> list[dict]:
+    if len(found) > most:
+        raise ValueError("more entries than the bound")
+    return found
 
 
 def _no_repeats(pairs):
@@ -128,7 +133,7 @@ def _json_feed(raw: bytes, base: str, most: int):
         urls = [item.get("url"), item.get("external_url"), *(a.get("url") for a in item.get("attachments", []))]
         text = item.get("content_text") or plain_text(item.get("content_html") or "") or item.get("summary") or ""
         out.append({"id": str(item["id"]) if "id" in item else None, "title": item.get("title"), "published": item.get("date_published"), "text": text, "urls": [u for u in (joined(base, x) for x in urls if x) if u]})
-    return "json_feed", out[:most], max(0, len(out) - most)
+    return "json_feed", _bounded(out, most), 0
 
 
 def _table(rows: DataFrame, key: str, columns: list[str], work, schema: str, types: list) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +58,9 @@ def media(declared: Column, content: Column, generic=("application/octet-stream"
     )
 
 
+_DECLARATION = re.compile(rb"<!(?:DOCTYPE|ENTITY)", re.I)
+
+
 def archive_reason(raw: bytes | None, most_entries: int = 2000, most_bytes: int = 256 << 20, ratio: int = 200) -> str | None:
     """Why a word-processor archive is refused; None if it is admitted."""
     try:
@@ -70,10 +75,14 @@ def archive_reason(raw: bytes | None, most_entries: int = 2000, most_bytes: int
                 return "unsafe_name"
             if any(i.flag_bits & 1 for i in items):
                 return "encrypted"
-            if sum(i.file_size for i in items) > most_bytes or any(i.file_size > ratio * max(1, i.compress_size) and i.file_size > 1 << 20 for i in items):
+            if any(i.external_attr >> 28 == 0xA for i in items):
+                return "link"
+            if sum(i.file_size for i in items) > most_bytes or any(i.file_size > ratio * max(1, i.compress_size) for i in items):
                 return "expansion"
-            return None if "word/document.xml" in names else "no_document"
-    except (zipfile.BadZipFile, ValueError, NotImplementedError):
+            if any(_DECLARATION.search(z.read(i)) for i in items if i.filename.endswith((".xml", ".rels"))):
+                return "declaration"
+            return None if {"word/document.xml", "[Content_Types].xml"} <= set(names) else "no_document"
+    except (zipfile.BadZipFile, zlib.error, EOFError, ValueError, NotImplementedError):
         return "no_archive"
 
 

@@ -27,7 +27,8 @@ class _Page(HTMLParser):
         self.open: list[str] = []
         self.skip = 0
         self.meta: dict[str, str] = {}
-        self.canonical = self.time = self.base = self.lang = None
+        self.canonical = self.time = self.lang = None
+        self.seen: set[str] = set()
         self.titles: dict[str, list[str]] = {}
         self.text: dict[str, list[str]] = {}
         self.links: dict[str, list[list]] = {}
@@ -45,8 +46,6 @@ class _Page(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         if tag == "html":
             self.lang = self.lang or a.get("lang")
-        if tag == "base":
-            self.base = self.base or a.get("href")
         if tag == "meta":
             name = (a.get("property") or a.get("name") or "").lower()
             if name and "content" in a:
@@ -58,6 +57,8 @@ class _Page(HTMLParser):
         if tag in _BLOCK and not self.skip:
             self._add("\n")
         if tag not in _VOID:
+            if not self.skip and tag not in self.dropped:
+                self.seen.add(tag)
             self.open.append(tag)
             if tag in self.dropped:
                 self.skip += 1
@@ -104,26 +105,30 @@ def _flat(text: str) -> str:
 
 
 def read(html: str, url: str, dropped=DROPPED, bodies=BODIES, most_chars: int = 250_000, most_links: int = 200, least_chars: int = 30) -> dict | None:
-    """What a page says; None if its body has fewer characters than asked (another reader may do better)."""
+    """What a page says; None if it has no title, or its first body has fewer characters than asked (another reader may do better).
+
+    Links are resolved against the page's own address.
+    """
     page = _Page(dropped, bodies)
     page.feed(html)
     page.close()
-    body = next((b for b in bodies if _flat("".join(page.text.get(b, ())))), None)
+    body = next((b for b in bodies if b in page.seen), None)
     lines = [_flat(x) for x in "".join(page.text.get(body, ())).split("\n")]
     text = "\n".join(x for x in lines if x)
     if len(text) < least_chars:
         return None
     heading = _flat("".join(page.titles.get("h1", ())))
     title = page.meta.get("og:title") or heading or _flat("".join(page.titles.get("title", ()))) or None
-    base = joined(url, page.base) if page.base else url
+    if title is None:
+        return None
     first: dict[str, str] = {}
     for href, parts in page.links.get(body, ()):
-        to = joined(base or url, href)
+        to = joined(url, href)
         if to and to not in first:
             first[to] = _flat("".join(parts))
     links = list(first.items())
     return {
-        "title": title, "author": page.meta.get("author"), "published": page.meta.get("article:published_time") or page.time, "canonical": joined(base or url, page.canonical) if page.canonical else None,
+        "title": title, "author": page.meta.get("author"), "published": page.meta.get("article:published_time") or page.time, "canonical": joined(url, page.canonical) if page.canonical else None,
         "declared_lang": page.lang, "text": text[:most_chars], "omitted_chars": max(0, len(text) - most_chars), "links": [{"target": t, "anchor": x} for t, x in links[:most_links]], "omitted_links": max(0, len(links) - most_links),
     }
 
@@ -181,6 +186,10 @@ def text_references(text: Column, most: int) -> Column:
     return F.slice(F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:)]+$", ""))), 1, most)
 
 
+_DESCRIPTORS = re.compile(r"(?:\([^)]*(?:\)|$)|[^,(])*")
+_WORDS = re.compile(r"(?:\([^)]*(?:\)|$)|[^ \t\n\f\r(])+")
+
+
 #: srcset: candidates of an image, as browsers read them.
 def srcset(value: str) -> list[dict]:
     """url, width, density of each valid candidate; one with a wrong descriptor is left out."""
@@ -199,11 +208,9 @@ def srcset(value: str) -> list[dict]:
             url = url.rstrip(",")
             at = end
         else:
-            depth, start, at = 0, end, end
-            while at < len(value) and (depth or value[at] != ","):
-                depth += {"(": 1, ")": -1 if depth else 0}.get(value[at], 0)
-                at += 1
-            words = value[start:at].split()
+            # A bracket holds until the next closing one: brackets don't nest, and commas and blanks inside are plain.
+            held = _DESCRIPTORS.match(value, end)[0]
+            words, at = _WORDS.findall(held), end + len(held)
         width = [w for w in words if re.fullmatch(r"[0-9]+w", w) and int(w[:-1]) > 0]
         density = [w for w in words if re.fullmatch(r"(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?x", w)]
         height = [w for w in words if re.fullmatch(r"[0-9]+h", w)]

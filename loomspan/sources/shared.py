@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset, as in tests."""
+    """spark.checkpoint.dir; where that is unset a folder of our own, but only on one machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -18,9 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written there and read back: the lineage ends, and lost executors cost no work that was done before."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomspan_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes a table that stored() made and that nothing reads any more. Hadoop's client does it, as only Spark may reach the folder."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._loomspan_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +60,6 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """A table of fewer scan tasks than cores, dealt over all cores before Python works on it; larger ones stay as they are, unshuffled."""
+    """A table of fewer files than cores, dealt over all cores before Python works on it; larger ones stay as they are, unshuffled."""
     n = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(n) if table.rdd.getNumPartitions() < n else table
+    return table.repartition(n) if len(table.inputFiles()) < n else table

@@ -40,7 +40,8 @@ def test_media_and_archives(spark):
                 z.writestr(n, data)
         return out.getvalue()
 
-    assert files.archive_reason(archive("word/document.xml")) is None
+    assert files.archive_reason(archive("word/document.xml", "[Content_Types].xml")) is None and files.archive_reason(archive("word/document.xml")) == "no_document"
+    assert files.archive_reason(archive("word/document.xml", "[Content_Types].xml", data=b"<!doctype x>")) == "declaration"
     assert files.archive_reason(archive("word/document.xml", "../x")) == "unsafe_name"
     assert files.archive_reason(archive("a")) == "no_document" and files.archive_reason(b"no") == "no_archive" and files.archive_reason(None) == "no_archive"
     assert files.archive_reason(archive("word/document.xml", data=b"0" * (8 << 20))) == "expansion"

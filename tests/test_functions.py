@@ -107,6 +107,8 @@ def test_page_reading():
     assert r["text"].split("\n")[:3] == ["Head", "First para.", "Second & last, long enough to be read. one two m"]
     assert r["links"] == [{"target": "https://h.org/x", "anchor": "one"}] and "foot" not in r["text"]
     assert html.read("<p>thin", "https://h.org/") is None and html.plain("<p>thin<script>x</script>", "https://h.org/")["text"] == "thin"
+    assert html.read("<base href=/b/><title>t</title><body>" + "long enough text to be read " * 3 + "<a href=x>l</a>", "https://h.org/p")["links"][0]["target"] == "https://h.org/x"
+    assert html.read("<body>" + "text without any title " * 9, "https://h.org/") is None and html.read("<title>t</title><article></article><body>" + "words " * 30, "https://h.org/") is None
     cut = html.read(PAGE, "https://h.org/p", most_chars=10, most_links=0)
     assert len(cut["text"]) == 10 and cut["omitted_chars"] > 0 and cut["omitted_links"] == 1
 
@@ -123,13 +125,16 @@ def test_page_reading():
         ("a.png, b.png 2x", [("a.png", None, 1.0), ("b.png", None, 2.0)]),
         ("a.png 1x 2x", []),
         ("", []),
+        ("a.png (1x, 2x) 1x, b.png 2x", [("b.png", None, 2.0)]),
+        ("a.png ((1x), b.png 2x", [("b.png", None, 2.0)]),
+        ("a.png (1x, b.png 2x", []),
     ],
 )
 def test_srcset(value, want):
     assert [(c["url"], c["width"], c["density"]) for c in html.srcset(value)] == want
 
 
-RSS = b"""<rss><channel><item><title>A</title><link>/a</link><guid isPermaLink="false">x1</guid><enclosure url="/a.mp3"/><description>&lt;b&gt;hi&lt;/b&gt; you</description></item></channel></rss>"""
+RSS = b"""<rss version="2.0"><channel><item><title>A</title><link>/a</link><guid isPermaLink="false">x1</guid><enclosure url="/a.mp3"/><description>&lt;b&gt;hi&lt;/b&gt; you</description></item></channel></rss>"""
 ATOM = b"""<feed xmlns="http://www.w3.org/2005/Atom" xml:base="https://b.org/d/"><entry xml:base="e/"><id>i</id><title type="html">&lt;i&gt;T&lt;/i&gt;</title><link href="f"/><summary>s</summary></entry></feed>"""
 
 
@@ -138,11 +143,18 @@ def test_feeds():
     assert kind == "rss" and got[0]["urls"] == ["https://h.org/a", "https://h.org/a.mp3"] and got[0]["text"] == "hi you" and left == 0
     kind, got, _ = feeds.entries(ATOM, "https://h.org/")
     assert kind == "atom" and got[0]["urls"] == ["https://b.org/d/e/f"] and got[0]["title"] == "T" and got[0]["text"] == "s"
-    kind, got, left = feeds.entries(b'<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://h.org/1</loc></url><url><loc>https://h.org/2</loc></url></urlset>', "https://h.org/", 1)
-    assert kind == "sitemap" and len(got) == 1 and left == 1
+    kind, got, left = feeds.entries(b'<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://h.org/1</loc></url><url><loc>https://h.org/2</loc></url></urlset>', "https://h.org/")
+    assert kind == "sitemap" and len(got) == 2 and left == 0
     kind, got, _ = feeds.entries(b'{"version":"https://jsonfeed.org/version/1.1","items":[{"id":1,"url":"/u","attachments":[{"url":"/v"}],"content_html":"<p>c</p>"}]}', "https://h.org/")
     assert kind == "json_feed" and got[0]["urls"] == ["https://h.org/u", "https://h.org/v"] and got[0]["text"] == "c"
-    for bad in (b'<!DOCTYPE x><rss/>', b'<!doctype x [<!ENTITY a "b">]><rss/>', b"<html/>", b'{"a":1,"a":2}'):
+    atom = b'<feed xmlns="http://www.w3.org/2005/Atom"><entry><link href="/1"/><link href="/2"/><link rel="enclosure" href="/3"/><summary>s</summary><content>c</content></entry></feed>'
+    got = feeds.entries(atom, "https://h.org/")[1][0]
+    assert got["urls"] == ["https://h.org/1", "https://h.org/3"] and got["text"] == "s"
+    guid = b'<rss version="2.0"><channel><item><guid isPermaLink="yes">/g</guid></item><item><guid>/h</guid></item></channel></rss>'
+    assert [x["urls"] for x in feeds.entries(guid, "https://h.org/")[1]] == [[], ["https://h.org/h"]]
+    with pytest.raises(ValueError):
+        feeds.entries(guid, "https://h.org/", 1)
+    for bad in (b'<rss><channel/></rss>', b'<!DOCTYPE x><rss/>', b'<!doctype x [<!ENTITY a "b">]><rss/>', b"<html/>", b'{"a":1,"a":2}'):
         with pytest.raises(ValueError):
             feeds.entries(bad, "https://h.org/")
 
@@ -161,3 +173,9 @@ def test_reading_order():
     assert layout.reading_order([heading, *right, *left]) == [0, 1, 2, 3, 4, 5, 6]
     assert layout.reading_order([*right, *left], right_to_left=True) == [4, 5, 6, 1, 2, 3]
     assert layout.reading_order([]) == []
+    # A gap counts against the page, so a narrow one in a narrow region doesn't cut it.
+    near = [(1, 0.0, 0.0, 0.1, 0.1), (2, 0.11, 0.05, 0.2, 0.15), (3, 0.0, 0.08, 0.1, 0.2), (4, 0.8, 0.0, 1.0, 0.2)]
+    assert layout.reading_order(near, column_gap=0.05) == [1, 2, 3, 4] and layout.reading_order(near, column_gap=0.005) == [1, 3, 2, 4]
+    for bad in ([(1, 0, 0, 1, 1), (1, 2, 0, 3, 1)], [(1, 1, 0, 0, 1)], [(1, float("nan"), 0, 1, 1)]):
+        with pytest.raises(ValueError):
+            layout.reading_order(bad)

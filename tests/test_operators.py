@@ -1,5 +1,7 @@
 """Operators on literal tables: cases that the driver's tables don't have."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,8 +76,23 @@ def test_packing(spark):
 
 def test_spans_are_united():
     assert scoring.union_spans([(0.9, 100, 200), (0.8, 150, 180), (0.7, 210, 260), (0.6, 900, 950)], 1000, 2, 400, 20) == ([(80, 280), (880, 970)], [])
-    assert scoring.union_spans([(0.9, 0, 100), (0.8, 500, 600), (0.7, 800, 900)], 1000, 2, 1000, 0)[1] == ["window_limit"]
-    assert scoring.union_spans([(0.9, 0, 500)], 1000, 2, 100, 0) == ([], ["character_limit"])
+    assert scoring.union_spans([(0.9, 0, 100), (0.8, 500, 600), (0.7, 800, 900)], 1000, 2, 1000, 0)[1] == ["max_windows"]
+    assert scoring.union_spans([(0.9, 0, 500)], 1000, 2, 100, 0) == ([], ["max_chars"])
+
+
+def test_spans_keep_their_bounds():
+    # A window's own bound, padding that the text's beginning can't take, and a merge that would be too long or too much.
+    assert scoring.union_spans([(0.9, 0, 50)], 1000, 2, 400, 20, 60) == ([(0, 60)], [])
+    assert scoring.union_spans([(0.9, 0, 80)], 1000, 2, 400, 20, 60) == ([], ["max_chars"])
+    assert scoring.union_spans([(0.9, 0, 50), (0.8, 50, 100)], 1000, 3, 400, 0, 60) == ([(0, 50)], ["max_windows"])
+    rng = random.Random(6)
+    for _ in range(300):
+        n, most, room, window, pad = 500, rng.randrange(1, 5), rng.randrange(20, 300), rng.randrange(20, 200), rng.randrange(0, 30)
+        spans = [(rng.random(), a, a + rng.randrange(1, 60)) for a in (rng.randrange(440) for _ in range(12))]
+        got, why = scoring.union_spans(spans, n, most, room, pad, window)
+        assert len(got) <= most and sum(b - a for a, b in got) <= room and all(0 <= a < b <= n and b - a <= window for a, b in got)
+        assert all(b < c for (_, b), (c, _) in zip(got, got[1:])) and set(why) <= {"max_chars", "max_windows"}
+        assert why or all(any(x <= a and b <= y for x, y in got) for _, a, b in spans)
 
 
 def test_sentences(spark):
