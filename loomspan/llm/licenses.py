@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import LOWER, as_bytes, texts_map
+from .common import LOWER, as_bytes, quoted, texts_map
 
 #: License, words that a match must have, wording. Public notices and the usual short statements.
 TEMPLATES = (
@@ -134,6 +134,8 @@ class Scanner:
             own = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.templates.append((name, set(must.split()), tokens(text), own))
             self.around = max(self.around, math.ceil((1 + MOST_EXTRA) * len(self.templates[-1][2])))
+        #: Words that tell licenses apart; put into another's wording they make it a different one.
+        self.telling = {w for _, must, _, _ in self.templates for w in must if not any(c.isdigit() for c in w)} - {"rights", "reserved", "neither", "redistribution"}
 
     def ranked(self, block: str) -> list[tuple[float, int]]:
         """Share of the compressed size that each template as a dictionary saves; best first."""
@@ -161,7 +163,7 @@ class Scanner:
                 seen[have[end]] += 1
                 common += seen[have[end]] <= size[have[end]]
                 end += 1
-            if s >= at and common >= least and word in size and (got := self._in_window(match, have[s : s + width], want, fixed)):
+            if s >= at and common >= least and word in size and (got := self._in_window(match, have[s : s + width], want, fixed, self.telling - set(want))):
                 found.append((s, s + got[0], got[1], got[2]))
                 at = s + got[0]
             common -= seen[word] <= size[word]
@@ -169,14 +171,16 @@ class Scanner:
         return found
 
     @staticmethod
-    def _in_window(match: SequenceMatcher, window: list[str], want: list[str], fixed: set[str]) -> tuple[int, int, int] | None:
+    def _in_window(match: SequenceMatcher, window: list[str], want: list[str], fixed: set[str], foreign: set[str]) -> tuple[int, int, int] | None:
         """End, missing words and words put in of the best match that begins with the window; None if there is none."""
         match.set_seq1(window)
         pieces = [m for m in match.get_matching_blocks() if m.size]
         if not pieces or pieces[0].a:
             return None
-        best, hit, matched = None, 0, set()
+        best, hit, matched, end = None, 0, set(), 0
         for m in pieces:
+            if foreign.intersection(window[end : m.a]):
+                break
             hit += m.size
             matched |= set(want[m.b : m.b + m.size])
             end = m.a + m.size
@@ -189,15 +193,20 @@ class Scanner:
         for k, (line, n, block) in enumerate(blocks(text or b"", self.around)):
             row = {"block": k, "line": line, "n_lines": n, "license": None, "reduction": 0.0, "missing": 0, "extra": 0}
             names = {x: row | {"license": x, "reduction": 1.0} for x in spdx(block)}
-            have, met = tokens(block), []
+            # In the order of reductions each template takes the places whose exact wording is its own. Where two would
+            # meet, the one ranked before has won, unless the later one's wording holds it whole and says more.
+            have, won = tokens(block), []
+            words = lambda m: len(self.templates[m[1]][2]) - m[4]
             for reduction, at in self.ranked(block):
                 row["reduction"] = max(row["reduction"], reduction)
-                met += [(reduction, -at, *m) for m in self.matches(have, -at)]
-            # A wording inside a longer one that says more is part of it: AGPL's has GPL's in it.
-            words = lambda m: len(self.templates[m[1]][2]) - m[4]
-            for m in met:
-                if self.templates[m[1]][0] not in names and not any(o[2] <= m[2] and m[3] <= o[3] and words(o) > words(m) for o in met):
-                    names[self.templates[m[1]][0]] = row | {"license": self.templates[m[1]][0], "reduction": m[0], "missing": m[4], "extra": m[5]}
+                for m in ((reduction, -at, *m) for m in self.matches(have, -at)):
+                    met = [o for o in won if o[2] < m[3] and m[2] < o[3]]
+                    if all(m[2] <= o[2] and o[3] <= m[3] and words(m) > words(o) for o in met):
+                        won = [o for o in won if o not in met] + [m]
+            for m in won:
+                name = self.templates[m[1]][0]
+                if name not in names:
+                    names[name] = row | {"license": name, "reduction": m[0], "missing": m[4], "extra": m[5]}
             found += names.values() or [row]
         return found
 
@@ -223,4 +232,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "n_confirmed": pa.array([sum(f["license"] is not None for f in x) for x in found], pa.int64()), "found": pa.array([[{k: v for k, v in f.items() if k != "block"} for f in x] for x in found], pa.list_(item)),
         }
 
-    return texts_map(docs, [id_col, text_col], lambda b: work(b), f"{id_col} {kind}, n_blocks long, licenses string, n_confirmed long, found array<struct<line:bigint,n_lines:bigint,license:string,reduction:double,missing:bigint,extra:bigint>>")
+    return texts_map(docs, [id_col, text_col], lambda b: work(b), f"{quoted(id_col)} {kind}, n_blocks long, licenses string, n_confirmed long, found array<struct<line:bigint,n_lines:bigint,license:string,reduction:double,missing:bigint,extra:bigint>>")
