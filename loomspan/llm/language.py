@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, held_out, texts_map
+from .common import as_bytes, held_out, quoted, texts_map
 
 FEATURES = 1 << 13
 ORDERS = (1, 2, 3, 4)
@@ -32,7 +32,6 @@ FAMILIES = {
     "sinitic": "zh yue wuu",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(code: str) -> str:
@@ -100,8 +99,8 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30)
 class Hierarchy:
     """Families apart by one-versus-one machines, and languages within each family likewise."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
-        x = [_sparse(features(t)) for t in texts]
+    def __init__(self, x: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
+        """x: places and values of the features of each sampled text."""
         self.languages = sorted(set(langs))
         of = families(self.languages)
         by = np.array(langs, object)
@@ -135,7 +134,7 @@ class Hierarchy:
         return names[best], float(total[best] / (len(names) - 1))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         x = features(text).astype(np.float64)
         name, a = self._vote(self.top, x)
@@ -145,7 +144,7 @@ class Hierarchy:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Hierarchy:
     """Fits on up to sample documents of each language, the first by a hash of the id; never on held out rows."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where("_lang is not null and _text is not null").where(~held_out("_id"))
+    rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(lang_col)).alias("_lang"), F.col(quoted(text_col)).alias("_text")).where("_lang is not null and _text is not null").where(~held_out("_id"))
     # The smallest hashes of each language by a bound on the hash: no window over all rows, no text is moved for it.
     n = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
     if not n:
@@ -153,8 +152,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     part = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30)).cast("long")
     bounds = docs.sparkSession.createDataFrame([(v, min(1 << 30, int((sample + 6 * sample**0.5 + 10) / k * (1 << 30)))) for v, k in n.items()], "_l string, _bound long")
     near = rows.withColumn("_part", part).join(F.broadcast(bounds), (F.col("_lang") == F.col("_l")) & (F.col("_part") < F.col("_bound")))
-    got = near.withColumn("_r", F.row_number().over(W.partitionBy("_lang").orderBy("_part", "_id", F.xxhash64("_text")))).where(f"_r <= {sample}").select("_text", "_lang").orderBy("_lang", "_part", "_id").collect()
-    return Hierarchy([r[0] for r in got], [r[1] for r in got])
+    picked = near.withColumn("_r", F.row_number().over(W.partitionBy("_lang").orderBy("_part", "_id", F.xxhash64("_text")))).where(f"_r <= {sample}")
+
+    # Tasks make the features; the driver gets some thousand numbers of a text, not the text.
+    def work(batch: pa.RecordBatch) -> dict:
+        made = [_sparse(features(t.decode("utf-8", "replace"))) for t in as_bytes(batch, "_text")]
+        return {"_lang": batch.column("_lang"), "_r": batch.column("_r"), "_at": pa.array([a.tobytes() for a, _ in made], pa.binary()), "_v": pa.array([v.astype(np.float16).tobytes() for _, v in made], pa.binary())}
+
+    got = texts_map(picked, ["_lang", "_r", "_text"], work, "_lang string, _r int, _at binary, _v binary").orderBy("_lang", "_r").toArrow()
+    x = [(np.frombuffer(a, np.uint16), np.frombuffer(v, np.float16).astype(np.float32)) for a, v in zip(got.column("_at").to_pylist(), got.column("_v").to_pylist())]
+    return Hierarchy(x, got.column("_lang").to_pylist())
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
@@ -170,5 +177,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         got = [model.value.predict(None if t is None else t.decode("utf-8", "replace")) for t in as_bytes(batch, "_text")]
         return {"_id": batch.column("_id"), "_held": batch.column("_held"), "lang_pred": pa.array([x for x, _ in got], pa.string()), "score": pa.array([x for _, x in got], pa.float64())}
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held_out(id_col).alias("_held"))
+    rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text")).withColumn("_held", held_out("_id"))
     return texts_map(rows, ["_id", "_held", "_text"], work, f"_id {kind}, _held boolean, lang_pred string, score double").select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "lang_pred", "score")
