@@ -20,6 +20,8 @@ from .graph import connected_components
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (action, host, path) of the registered query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Hosts whose rules are sent to every task; beyond it they are joined.
+BROADCAST_HOSTS = 50_000
 _LINK = r"""<link[^>]*rel=["']?canonical["']?[^>]*>"""
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 _REFRESH = r"""<meta[^>]*http-equiv=["']?refresh["']?[^>]*>"""
@@ -86,7 +88,9 @@ def _ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
     suffixes = hosts.select("_h", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("rule_host"))
     fit = suffixes.join(rules, "rule_host").select("_h", F.struct((-F.length(F.concat("rule_host", "rule_path"))).alias("o"), F.concat("rule_host", "rule_path").alias("rule"), "rule_path", F.col("action").alias("action")).alias("_r"))
     of = fit.groupBy("_h").agg(F.sort_array(F.collect_set("_r")).alias("_rs"))
-    out = rows.join(of, rows["_host"] == of["_h"], "left").drop("_h")
+    # Hosts repeat; their rules are sent to all tasks up to a checked number, else a popular host is Spark's to split.
+    of = stored(of, "host-rules")
+    out = rows.join(F.broadcast(of) if of.count() <= BROADCAST_HOSTS else of, rows["_host"] == of["_h"], "left").drop("_h")
     return out.withColumn("_rule", F.get(F.filter("_rs", lambda r: F.startswith("_path", r["rule_path"])), F.lit(0))).drop("_rs")
 
 
