@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import shared
+from ..sources.shared import dropped  # noqa: F401  beside stored
+
 #: Lower-cases A-Z and leaves every other byte.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: As LOWER, and every ASCII byte that is no letter or digit becomes a space.
@@ -29,32 +31,11 @@ _PIECE = 512
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of queries that have ended
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loomspan_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Removes a table that stored() made and that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._loomspan_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    # Lets Spark's cleaner remove the shuffle files of queries that have ended; else they stay until the driver is full.
+    df.sparkSession._jvm.System.gc()
+    return shared.stored(df, name)
 
 
 def longs(values: list[int]) -> str:
@@ -140,7 +121,7 @@ def texts_map(df: DataFrame, columns: list[str], work: Callable, schema: str) ->
             got = work(batch)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in (got[n] for n in names)], names=names)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*(F.col(quoted(c)) for c in columns)).mapInArrow(run, schema)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

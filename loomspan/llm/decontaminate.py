@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, WordHashes, as_bytes, grams, mix, pieces, stored, texts_map, without
+from .common import ALNUM, WordHashes, as_bytes, grams, mix, pieces, quoted, stored, texts_map, without
 
 SPAN = 10
 GRAM = 6
@@ -168,7 +168,7 @@ def winnow_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         long = pa.int64()
         return {id_col: batch.column(id_col), "n_words": pa.array(n_words, long), "n_hit": pa.array(n_hit, long), "n_items": pa.array(n_items, long), "items_sha256": pa.array(sha, pa.string()), "contaminated": pa.array([n > 0 for n in n_hit], pa.bool_())}
 
-    return texts_map(docs, [id_col, text_col], work, f"{id_col} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return texts_map(docs, [id_col, text_col], work, f"{quoted(id_col)} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _fingerprints(table: DataFrame, key: str, text: str, lengths: list[int] | None) -> DataFrame:
@@ -197,7 +197,7 @@ def _fingerprints(table: DataFrame, key: str, text: str, lengths: list[int] | No
 def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The same by a join of fingerprints. Rows are known by id and digest of the text, so repeated rows stay apart."""
     # dup keeps the joins right when rows repeat: one copy is matched, all copies get its result.
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("binary").alias("_text"))
     rows = rows.withColumn("_key", F.concat_ws("|", F.coalesce(F.col("_id").cast("string"), F.lit("-")), F.sha2(F.coalesce("_text", F.lit(b"")), 256)))
     items = items.where("words is not null").withColumn("_item", F.sha2(F.concat_ws("|", F.coalesce("item", F.lit("-")), F.base64("words")), 256)).dropDuplicates(["_item"])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, texts_map
+from .common import as_bytes, quoted, texts_map
 
 #: (least bytes, lowest ratio, highest ratio) of compressed to plain bytes. Below the first length no ratio is judged:
 #: the frame's own bytes outweigh the text. Short texts compress less, so both limits fall with the length.
@@ -96,4 +96,4 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             "ratio": pa.array(ratio, pa.float64()), "n_chunks": pa.array(chunks, long), "n_bad_chunks": pa.array(bad, long),
         }
 
-    return texts_map(docs, [id_col, text_col], work, f"{id_col} {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long")
+    return texts_map(docs, [id_col, text_col], work, f"{quoted(id_col)} {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long")
