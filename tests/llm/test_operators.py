@@ -85,7 +85,29 @@ def test_quality_against_brute_force(spark):
             low, high = quality.band(len(b))
             if not low <= ratio <= high:
                 assert not r.kept
-    assert got[0].kept and got[4].kept and not got[2].kept and not got[3].kept
+            # The verdict, by plain reading of the bands: the whole text, and the share of bytes in chunks out of band.
+            squeezed = lambda x: len(zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False).compress(x)) / len(x)
+            fits = lambda x: len(x) < 256 or quality.band(len(x))[0] <= squeezed(x) <= quality.band(len(x))[1]
+            chunks = [b[k : k + 4096] for k in range(0, len(b), 4096)] if len(b) > 4096 else []
+            bad = [c for c in chunks if not fits(c)]
+            assert r.kept == (not r.base_failed and fits(b) and sum(map(len, bad)) <= 0.4 * len(b))
+            assert (r.n_chunks, r.n_bad_chunks) == (sum(len(c) >= 256 for c in chunks), len(bad))
+    assert not got[2].kept and not got[3].kept
+
+
+def test_quality_bands_reject_junk_and_keep_good_texts(sf):
+    """On labelled texts that the base rules keep: nearly no good one is rejected, and half of the junk is."""
+    import duckdb
+
+    folder = sf.replace("sf0.001", "sf0.01")
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, write_checksum=False).compress
+    rows = duckdb.sql(f"select text, quality from '{folder}/documents.parquet' join '{folder}/labels.parquet' using (doc_id) where text is not null").fetchall()
+    kept = {0: [], 1: []}
+    for text, good in rows:
+        m = quality.measures(text.encode(), compress)
+        if m[0] >= 50 and 100 * m[4] <= 50 * m[0]:
+            kept[good].append(m[8])
+    assert sum(kept[1]) >= 0.995 * len(kept[1]) and sum(kept[0]) <= 0.5 * len(kept[0])
 
 
 def shingles(t, k=5):
