@@ -18,11 +18,15 @@ MOST = 2.0
 #: Rows of one flight. A source of more rows is dealt over several flights by the hash of the id.
 FLIGHT = 4096
 _EPS = 1e-9
+#: The flight of a row: a chunk of its source.
+_GROUP = "xxhash64(source, pmod(xxhash64(_id, size, _copy, 2), _chunks), 3)"
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, rows, source_size, target of each source, by water-filling in closed form.
 
+    One row for each source is all that the windows see, however many documents there are.
+
     Sorted by the level most * size / weight at which a source is full, the common level c is right at the first
     source that it doesn't fill. Works on one row per source.
     """
@@ -105,13 +109,15 @@ def cube_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     source of its own, last in order. Repeated rows are units of their own. Chunks, order and seeds come from hashes of
     the ids, so reruns agree; a source of any size is dealt over many chunks, whose few open units meet in later rounds.
     """
-    sized = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(_q(text_col)), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    sized = stored(docs.select(F.col(_q(id_col)).alias("_id"), F.col(_q(source_col)).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(_q(text_col)), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     targets = stored(source_targets(sized, weights, share, most), "targets")
     t = targets.withColumnRenamed("source", "_source")
-    rows = sized.join(t, sized["source"].eqNullSafe(t["_source"])).drop("_source")
+    # Equal rows are told apart by a number, so that rows without an id, or with one that repeats, don't meet in one flight.
+    each = sized.groupBy("_id", "source", "size").agg(F.count("*").alias("_copies")).select("_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"))
+    rows = each.join(t, each["source"].eqNullSafe(t["_source"])).drop("_source")
     rows = rows.selectExpr(
         "*", "case when source_size > 0 then target / source_size else 0D end as _pi", f"cast(ceil(rows / {FLIGHT}) as long) as _chunks", "xxhash64(_id, 1) as _order", "coalesce(cast(_id as string), '') as _tie",
-    ).selectExpr("*", "_pi - floor(_pi) as _p", "xxhash64(source, pmod(xxhash64(_id, 2), _chunks), 3) as _group")
+    ).selectExpr("*", "_pi - floor(_pi) as _p", f"{_GROUP} as _group")
     most_chunks = targets.agg(F.max(F.ceil(F.col("rows") / FLIGHT))).first()[0] or 1
     done = None
     while True:
@@ -125,7 +131,7 @@ def cube_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         done = flown.where(settled) if done is None else done.union(flown.where(settled))
         # Two units at most stay open in each chunk, so every round has a small part of the chunks of the one before.
         most_chunks = -(-2 * most_chunks // FLIGHT)
-        rows = flown.where(f"not ({settled})").withColumn("_chunks", F.ceil(F.col("_chunks") * 2 / FLIGHT)).withColumn("_group", F.expr("xxhash64(source, pmod(xxhash64(_id, 2), _chunks), 3)"))
+        rows = flown.where(f"not ({settled})").withColumn("_chunks", F.ceil(F.col("_chunks") * 2 / FLIGHT)).withColumn("_group", F.expr(_GROUP))
     return done.selectExpr(f"_id as {_q(id_col)}", "size", "source_size", "target", "cast((floor(_pi) + round(_p)) * size as long) as taken", "source as mix_source", "cast(floor(_pi) + round(_p) as long) as copies")
 
 
