@@ -483,3 +483,23 @@ def feed_readings(spark, sf_dir):
     raw = f.select("conv_id", F.concat(F.lit("<rss version=\"2.0\"><channel><title>c</title>"), "x", F.lit("</channel></rss>")).cast("binary").alias("raw"), F.lit("https://e.example/feed").alias("base"))
     found = feeds.feed_entries(raw, "conv_id", "raw", "base")
     return found.groupBy("conv_id").agg(F.count("*").alias("entries"), F.min_by(F.get("urls", F.lit(0)), "ordinal").alias("first_link"))
+
+
+@query("select conv_id, case when conv_id % 5 <> 0 then turn end as ordinal, case when conv_id % 5 <> 0 then case when turn % 2 = 0 then 'https://s.example/r/' || turn else 'https://o.example/' || turn end end as url, case when conv_id % 5 <> 0 then 't ' || role end as title, case when conv_id % 5 <> 0 then 'a snippet' end as snippet, case when conv_id % 5 = 0 then 'unknown layout' end as error from conversations where turn < 4 and (conv_id % 5 <> 0 or turn = 0)")
+def search_pages(spark, sf_dir):
+    """Pages of a search interface, made of turns; every fifth has another layout and is refused."""
+    t = F.col("turn")
+    item = F.concat(F.lit('<article class="result x"><h3><a href="'), F.when(t % 2 == 0, F.concat(F.lit("/r/"), t)).otherwise(F.concat(F.lit("https://o.example/"), t)), F.lit('">t <b>'), "role", F.lit('</b></a></h3><p class="content">a<br> <i>snippet</i><script>x</script></p><p>no</p></article>'))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", item.alias("x")))), lambda x: x["x"]), "").alias("x"))
+    page = c.select("conv_id", F.lit("https://s.example/search?q=1").alias("url"), F.concat(F.when(F.col("conv_id") % 5 == 0, "<div>").otherwise('<article class="result"></article><div id="results"><div id="urls">'), "x", F.lit("</div></div>")).alias("html"))
+    return feeds.search_pages(page, "conv_id", "url", "html", 4)
+
+
+@query("select conv_id, case when conv_id % 4 <> 0 then turn end as ordinal, case when conv_id % 4 <> 0 then case when turn % 3 = 1 then 'ftp://x/' else 'https://l.example/' || turn end end as url, case when conv_id % 4 <> 0 and turn % 2 = 0 then role end as title, case when conv_id % 4 = 0 then 'no_list' when turn >= 5 then 'limit' when turn % 3 = 1 then 'no_url' end as reason from conversations where conv_id % 4 <> 0 or turn = 0")
+def lead_envelopes(spark, sf_dir):
+    """Envelopes of a tool's answer, whose list and fields lie where a configuration says."""
+    t = F.col("turn")
+    lead = F.struct(F.struct(F.when(t % 3 == 1, "ftp://x/").otherwise(F.concat(F.lit("https://l.example/"), t)).alias("href")).alias("link"), F.when(t % 2 == 0, F.col("role")).alias("name"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", lead.alias("x")))), lambda x: x["x"]).alias("x"))
+    raw = F.when(F.col("conv_id") % 4 == 0, F.lit('{"result":{}}')).otherwise(F.to_json(F.struct(F.struct(F.col("x").alias("hits")).alias("result"))))
+    return feeds.lead_envelopes(c.select("conv_id", raw.alias("raw")), "conv_id", "raw", "result.hits", {"url": "link.href", "title": "name"}, 5)

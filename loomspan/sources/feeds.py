@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from html.parser import HTMLParser
-from urllib.parse import quote
+from urllib.parse import quote, urljoin
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.urls import joined
+from ..functions.urls import joined, plain_web
 
 _ATOM, _SITE, _BASE = "{http://www.w3.org/2005/Atom}", "{http://www.sitemaps.org/schemas/sitemap/0.9}", "{http://www.w3.org/XML/1998/namespace}base"
 _UNSAFE = re.compile(rb"<!(?:DOCTYPE|ENTITY)", re.I)
@@ -231,3 +231,94 @@ def search_hits(responses: DataFrame, key: str, raw: str, most: int) -> DataFram
     shape = "results array<struct<url:string,title:string,content:string>>"
     got = responses.select(key, F.posexplode(F.slice(F.from_json(raw, shape)["results"], 1, most)).alias("ordinal", "r"))
     return got.select(key, "ordinal", "r.url", "r.title", F.col("r.content").alias("snippet"))
+
+
+class _Results(HTMLParser):
+    """Results of a search page: articles of class result inside the one list of results."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, dict]] = []
+        self.lists = 0
+        self.hits: list[dict] = []
+        self.skip = 0
+
+    def _in(self, tag: str, **want: str) -> bool:
+        return any(t == tag and all(v in a.get(k, "").split() for k, v in want.items()) for t, a in self.open)
+
+    def _listed(self) -> bool:
+        ids = [a.get("id") for _, a in self.open]
+        return "results" in ids and "urls" in ids[ids.index("results") + 1 :]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "img", "input", "link", "meta", "hr", "wbr"):
+            return
+        a = {k: v or "" for k, v in attrs}
+        before = self._listed()
+        self.open.append((tag, a))
+        self.lists += self._listed() and not before
+        self.skip += tag in ("script", "style")
+        if self._listed() and tag == "article" and "result" in a.get("class", "").split():
+            self.hits.append({"links": [], "title": [], "snippet": []})
+        elif self.hits and tag == "a" and "href" in a and self._in("article", **{"class": "result"}) and self._in("h3"):
+            self.hits[-1]["links"].append(a["href"])
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open:
+                t, _ = self.open.pop()
+                self.skip -= t in ("script", "style")
+                if t == tag:
+                    break
+
+    def handle_data(self, data):
+        if self.skip or not data.strip() or not self.hits or not self._in("article", **{"class": "result"}):
+            return
+        if self._in("h3") and self._in("a"):
+            self.hits[-1]["title"].append(data.strip())
+        elif self._in("p", **{"class": "content"}):
+            self.hits[-1]["snippet"].append(data.strip())
+
+
+def results_of(page: str, url: str, most: int) -> list[dict]:
+    """url, title, snippet of the first most results of a search page; a page of another layout is refused."""
+    p = _Results()
+    p.feed(page)
+    p.close()
+    found = p.hits[:most]
+    if p.lists != 1 or any(len(h["links"]) != 1 or not h["links"][0].strip() for h in found):
+        raise ValueError("unknown layout")
+    return [{"url": urljoin(url, h["links"][0].strip()), "title": " ".join(h["title"]), "snippet": " ".join(h["snippet"])} for h in found]
+
+
+def search_pages(responses: DataFrame, key: str, url: str, html: str, most: int) -> DataFrame:
+    """key, ordinal, url, title, snippet, error: results of search pages in order; one row of an error for a page that is refused."""
+    kind = responses.schema[key].dataType.simpleString()
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for k, u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                try:
+                    out += [(k, i, r["url"], r["title"], r["snippet"], None) for i, r in enumerate(results_of(h or "", u or "", most))]
+                except ValueError as e:
+                    out.append((k, None, None, None, None, str(e)))
+            columns = list(zip(*out)) if out else [()] * 6
+            types = (batch.schema.field(0).type, pa.int64(), *(pa.string(),) * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[key, "ordinal", "url", "title", "snippet", "error"])
+
+    return responses.select(key, url, html).mapInArrow(work, f"`{key}` {kind}, ordinal long, url string, title string, snippet string, error string")
+
+
+def lead_envelopes(responses: DataFrame, key: str, raw: str, items: str, fields: dict[str, str], most: int) -> DataFrame:
+    """key, ordinal, the mapped fields and reason of an envelope's leads: items is the path of their list, fields the path of each field in a lead.
+
+    reason: no_list for an envelope without one, no_url for a lead whose url is no plain web address, limit beyond the
+    first most; null for a lead that counts. A field that a lead lacks is null.
+    """
+    path = lambda p: "$" + "".join(f"['{x}']" for x in p.split("."))
+    one = responses.select(key, F.from_json(F.get_json_object(raw, path(items)), "array<string>").alias("_l"))
+    each = one.select(key, F.posexplode_outer("_l").alias("ordinal", "_x"))
+    out = each.select(key, "ordinal", *(F.get_json_object("_x", path(p)).alias(name) for name, p in fields.items()))
+    reason = F.when(F.col("ordinal").isNull(), "no_list").when(F.col("ordinal") >= most, "limit").when(~F.coalesce(plain_web(F.col("url")), F.lit(False)), "no_url")
+    return out.withColumn("reason", reason)
