@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import json_digest
+from .folding import folded
 
 
 def first_provider(answers: DataFrame, query: str, provider_order: str, hits: Column) -> DataFrame:
@@ -98,16 +99,12 @@ def evidence_context(candidates: DataFrame, intent: str, document: str, start: s
 
 def greedy_fill(items: DataFrame, group: str, order: list[str], size: str, room: int) -> DataFrame:
     """items and kept: in order, each item is kept if it still fits beside those kept before it; smaller later ones may fit."""
-    entry = F.struct(*order, F.col(size).cast("bigint").alias("_s"), F.struct(*items.columns).alias("_r"))
-    kind = items.schema.simpleString()
-    start = F.expr(f"named_struct('n', 0L, 'out', cast(array() as array<struct<r:{kind},kept:boolean>>))")
 
-    def step(s: Column, x: Column) -> Column:
-        ok = s["n"] + x["_s"] <= room
-        return F.struct((s["n"] + F.when(ok, x["_s"]).otherwise(0)).alias("n"), F.concat(s["out"], F.array(F.struct(x["_r"].alias("r"), ok.alias("kept")))).alias("out"))
+    def step(used, n):
+        fits = used + n <= room
+        return used + n if fits else used, (fits,)
 
-    lists = items.groupBy(F.col(group).alias("_g")).agg(F.sort_array(F.collect_list(entry)).alias("_l"))
-    return lists.select(F.explode(F.aggregate("_l", start, step, lambda s: s["out"])).alias("x")).select("x.r.*", "x.kept")
+    return folded(items.withColumn("_n", F.coalesce(F.col(size).cast("bigint"), F.lit(0))), [group], order, ["_n"], "kept boolean", 0, step).drop("_n")
 
 
 def state_report(rows: DataFrame, group: str, state: str, states: list[str]) -> DataFrame:

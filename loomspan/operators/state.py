@@ -1,7 +1,7 @@
 """Folds over an ordered log: saturation, circuit breakers, stagnation, drift latches, back-off, versions and queues.
 
-Where a counter only depends on where it was reset, windows count runs; where a step depends on the state before, an ordered
-array of the entity's own few fields is folded inside the JVM.
+Where a counter only depends on where it was reset, windows count runs; where a step depends on the state before, sorted rows
+are folded in one pass.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .folding import folded
+
 
 def run_length(rows: DataFrame, key: list[str], order: list[str], hit: Column) -> DataFrame:
     """rows and run: how many rows up to this one, without a break, have hit; 0 where it has not."""
@@ -40,30 +42,21 @@ def circuit_breaker(calls: DataFrame, provider: str, order: list[str], failed: C
     return run_length(calls, [provider], order, failed).withColumnRenamed("run", "failures").withColumn("open", F.col("failures") >= limit)
 
 
-def _folded(rows: DataFrame, key: list[str], order: list[str], fields: list[str], start: str, step) -> DataFrame:
-    """key and one struct for each row, in order, that the fold appends to its out."""
-    entry = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *fields)
-    lists = rows.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("_l"))
-    return lists.select(*key, F.explode(F.aggregate("_l", F.expr(start), step, lambda s: s["out"])).alias("_x")).select(*key, "_x.*")
-
-
 def stagnation(rounds: DataFrame, key: list[str], order: str, progress: Column, window: int, most_changes: int, providers: int) -> DataFrame:
     """key, order, stagnant, changes, offset after each round.
 
     Progress sets the counter to 0. When it reaches the window, the strategy changes (so often at most) and the counter starts
     again. offset is the provider to begin with.
     """
-    rows = rounds.withColumn("_p", progress)
-    kind = dict(rounds.dtypes)[order]
-    start = f"named_struct('n', 0, 'c', 0, 'out', cast(array() as array<struct<{order}:{kind},stagnant:int,changes:int>>))"
 
-    def step(s: Column, x: Column) -> Column:
-        n = F.when(x["_p"], 0).otherwise(s["n"] + 1)
-        turn = (n >= window) & (s["c"] < most_changes)
-        n2, c2 = F.when(turn, 0).otherwise(n), F.when(turn, s["c"] + 1).otherwise(s["c"])
-        return F.struct(n2.alias("n"), c2.alias("c"), F.concat(s["out"], F.array(F.struct(x["o0"].alias(order), n2.alias("stagnant"), c2.alias("changes")))).alias("out"))
+    def step(state, progressed):
+        n, changes = 0 if progressed else state[0] + 1, state[1]
+        if n >= window and changes < most_changes:
+            n, changes = 0, changes + 1
+        return (n, changes), (n, changes, changes % providers)
 
-    return _folded(rows, key, [order], ["_p"], start, step).withColumn("offset", F.col("changes") % providers)
+    rows = rounds.select(*key, order, F.coalesce(progress, F.lit(False)).alias("_p"))
+    return folded(rows, key, [order], ["_p"], "stagnant int, changes int, offset int", (0, 0), step).drop("_p")
 
 
 def locator_latch(seen: DataFrame, key: list[str], order: list[str], missed: Column, reset: Column, limit: int) -> DataFrame:
@@ -77,29 +70,30 @@ def locator_latch(seen: DataFrame, key: list[str], order: list[str], missed: Col
 def throttle_backoff(responses: DataFrame, origin: str, order: str, at: str, throttled: Column, wait: Column, base: float = 5.0, factor: float = 2.0, most: float = 120.0) -> DataFrame:
     """origin, order, backoff, ready_at after each response: a throttled one waits base, then factor times more, up to most; never less
     than the server asks for. A success after the wait is over sets the back-off to 0."""
-    rows = responses.withColumn("_t", throttled).withColumn("_w", F.coalesce(wait.cast("double"), F.lit(0.0))).withColumn("_at", F.col(at).cast("double"))
-    kind = dict(responses.dtypes)[order]
-    start = f"named_struct('b', 0D, 'r', double('-Infinity'), 'out', cast(array() as array<struct<{order}:{kind},backoff:double,ready_at:double>>))"
 
-    def step(s: Column, x: Column) -> Column:
-        b = F.when(x["_t"], F.when(s["b"] == 0, F.lit(base)).otherwise(F.least(F.lit(most), s["b"] * factor))).when(x["_at"] >= s["r"], 0.0).otherwise(s["b"])
-        r = F.when(x["_t"], F.greatest(s["r"], x["_at"] + F.greatest(b, x["_w"]))).otherwise(s["r"])
-        return F.struct(b.alias("b"), r.alias("r"), F.concat(s["out"], F.array(F.struct(x["o0"].alias(order), b.alias("backoff"), r.alias("ready_at")))).alias("out"))
+    def step(state, at, hit, asked):
+        wait, ready = state
+        if hit:
+            wait = base if wait == 0 else min(most, wait * factor)
+            ready = max(ready, at + max(wait, asked))
+        elif at >= ready:
+            wait = 0.0
+        return (wait, ready), (wait, ready)
 
-    return _folded(rows, [origin], [order], ["_at", "_t", "_w"], start, step)
+    rows = responses.select(origin, order, F.col(at).cast("double").alias("_at"), F.coalesce(throttled, F.lit(False)).alias("_t"), F.coalesce(wait.cast("double"), F.lit(0.0)).alias("_w"))
+    return folded(rows, [origin], [order], ["_at", "_t", "_w"], "backoff double, ready_at double", (0.0, float("-inf")), step).drop("_at", "_t", "_w")
 
 
 def polite_schedule(requests: DataFrame, origin: str, order: str, at: str, spacing: Column) -> DataFrame:
-    """origin, order, starts_at: each request no sooner than asked, and by its spacing after the one before it at the same origin."""
-    rows = requests.withColumn("_at", F.col(at).cast("double")).withColumn("_s", spacing.cast("double"))
-    kind = dict(requests.dtypes)[order]
-    start = f"named_struct('free', double('-Infinity'), 'out', cast(array() as array<struct<{order}:{kind},starts_at:double>>))"
+    """origin, order, starts_at: each request no sooner than asked, and by its spacing after the one before it at the same origin.
 
-    def step(s: Column, x: Column) -> Column:
-        t = F.greatest(s["free"], x["_at"])
-        return F.struct((t + x["_s"]).alias("free"), F.concat(s["out"], F.array(F.struct(x["o0"].alias(order), t.alias("starts_at")))).alias("out"))
-
-    return _folded(rows, [origin], [order], ["_at", "_s"], start, step)
+    The start is the largest, over all requests so far, of when one was asked and the spacings since: two windows, no fold.
+    """
+    w = W.partitionBy(origin).orderBy(order)
+    rows = requests.select(origin, order, F.col(at).cast("double").alias("_at"), spacing.cast("double").alias("_s"))
+    rows = rows.withColumn("_b", F.coalesce(F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    start = F.col("_b") + F.max(F.col("_at") - F.col("_b")).over(w.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("starts_at", start).drop("_at", "_s", "_b")
 
 
 def latest_version_asof(checks: DataFrame, versions: DataFrame, key: str, at: str, payload: list[str]) -> DataFrame:
