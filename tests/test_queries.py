@@ -13,4 +13,4 @@ def test_query(spark, sf, name):
     if name in catalog.ORACLE_SQL:
         compare(df, catalog.ORACLE_SQL[name], sf)
     else:
-        assert df.columns and df.count() >= 0
+        assert df.columns and df.count() > 0
