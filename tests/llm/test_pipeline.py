@@ -58,3 +58,21 @@ def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     assert out and {"doc_id", "taken"} <= set(out[0].asDict())
     assert len({r.doc_id for r in out}) == len(out)
+
+
+def test_stages_on_odd_input(spark, sf):
+    """Nulls in any column, empty texts, repeated rows, rows without an id, and an empty table, through each stage."""
+    same = "alpha beta gamma delta"
+    rows = [(1, None, "en", "a", None), (2, "", None, None, 0), (3, f"{same}\n\n{same}", "en", "a", 5), (3, f"{same}\n\n{same}", "en", "a", 5), (None, "orphan text of five words", "de", None, 3), (4, same, "fr", "b", 1), (5, "é" * 30000, "fr", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf).collect()
+        ids = sorted((r.doc_id for r in got), key=repr)
+        if name == "line dedup":
+            # The repeated line goes, so does the document that only had it.
+            assert ids == [1, 2, 3, 3, 5, None] and {r.text for r in got if r.doc_id == 3} == {f"{same}\n"}
+        else:
+            assert ids == [1, 2, 3, 3, 4, 5, None], name
+        if name != "mixing":
+            assert list(got[0].asDict()) == docs.columns
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
