@@ -10,8 +10,7 @@ gives a row for each of its lines at most.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +28,7 @@ TRIED = 16
 ONE_LONG = 100
 
 _BLANKS = r"'[\\t\\r\\f\\x0B]'"
+_WORDS = "array_remove(split(_l, ' '), '')"
 #: A bound on the words that differ, by parities that do; a set of two longs is folded to meet one of one.
 _FOLDED = "bit_count(a._b0 ^ a._b1 ^ b._b0 ^ b._b1)"
 _APART = f"if(a._n <= {ONE_LONG} or b._n <= {ONE_LONG}, {_FOLDED}, bit_count(a._b0 ^ b._b0) + bit_count(a._b1 ^ b._b1))"
@@ -38,48 +38,47 @@ _SIMILAR = f"""a._tok = b._tok and 9 * {_FOLDED} <= a._n + b._n and (a._doc > b.
   and 9 * least(a._n - a._pos, b._n - b._pos) >= 4 * (a._n + b._n) and 9 * {_APART} <= a._n + b._n"""
 #: Sizes within a fourth of each other are in the same band or in neighbouring ones.
 _BAND = "cast(floor(ln(_n) * 4.48D) as int)"
-_EXACT = "9 * size(array_intersect(a._w, b._w)) >= 4 * (size(a._w) + size(b._w))"
-
-
-def _words(line: str) -> str:
-    """Words of a line in lower case, split at ASCII blanks."""
-    return f"array_remove(split(lower(if({line} rlike {_BLANKS}, regexp_replace({line}, {_BLANKS}, ' '), {line})), ' '), '')"
+_EXACT = "9 * size(array_intersect(split(a._w, ' '), split(b._w, ' '))) >= 4 * (a._m + b._m)"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr("_doc", r"posexplode(split(_text, '\n')) as (_ln, _l)").where("_l <> ''")
+    """Lines that are not empty, in lower case and with plain blanks; the whole text is turned at once, which costs less than by lines."""
+    text = f"lower(if(_text rlike {_BLANKS}, regexp_replace(_text, {_BLANKS}, ' '), _text)) as _text"
+    return docs.selectExpr("_doc", text).selectExpr("_doc", r"posexplode(split(_text, '\n')) as (_ln, _l)").where("_l <> ''")
 
 
 def _rarity(own: DataFrame) -> list[int]:
-    """A class for each bucket of word hashes, by powers of two of how often its words occur in all documents."""
-    counts = own.selectExpr(r"explode(split(replace(lower(_text), '\n', ' '), ' ')) as _w").groupBy(F.expr(f"cast(xxhash64(_w) & {RARITY_BUCKETS - 1} as int)").alias("_b")).count().collect()
-    classes = [0] * RARITY_BUCKETS
-    for b, n in counts:
-        classes[b] = min(31, int(math.log2(n + 1)))
-    return classes
+    """A class from -32 to 31 for each bucket of word hashes, by its rank in how often its words occur in all documents.
+
+    48 classes share the lower 31 of 32 parts of the buckets evenly, the others halve what is left, one after another.
+    """
+    counts = own.selectExpr(r"explode(split(replace(lower(_text), '\n', ' '), ' ')) as _w").groupBy(F.expr(f"cast(xxhash64(_w) & {RARITY_BUCKETS - 1} as int)").alias("_b")).count().toArrow()
+    often = np.zeros(RARITY_BUCKETS, np.int64)
+    often[counts.column("_b").to_numpy()] = counts.column("count").to_numpy()
+    below = np.searchsorted(np.sort(often), often) / RARITY_BUCKETS
+    return np.where(below < 31 / 32, below * 32 / 31 * 48 - 32, np.minimum(31, 11 - np.log2(1 - below))).astype(np.int64).tolist()
 
 
 def _measured(own: DataFrame) -> DataFrame:
-    """Each line: _n words, digests _s1 and _s2 of their set and _h of the line itself, parities, and the rarest words _p.
+    """Each line: _n words, digests _s1 and _s2 of their set and _h of the line in lower case, parities, and the rarest words _p.
 
     A word is its class of rarity and 58 bits of its hash, so plain order is order by rarity. Nothing in the words'
     expression may be null, as arrays without nulls are sorted as primitives.
     """
-    token = f"shiftleft(coalesce(get({longs(_rarity(own))}, cast(xxhash64(x) & {RARITY_BUCKETS - 1} as int)), 0L), 58) | shiftrightunsigned(xxhash64(x), 6)"
+    token = f"shiftleft(coalesce(get({longs(_rarity(own))}, cast(h & {RARITY_BUCKETS - 1} as int)), 0L), 58) | shiftrightunsigned(h, 6)"
     flip = "m ^ shiftleft(1L, cast(x & 63 as int))"
     parity = [
         f"if(size(_t) <= {ONE_LONG}, aggregate(_t, 0L, (m, x) -> {flip}), aggregate(_t, 0L, (m, x) -> if((x & 64) = 0, {flip}, m))) as _b0",
         f"if(size(_t) <= {ONE_LONG}, 0L, aggregate(_t, 0L, (m, x) -> if((x & 64) = 0, m, {flip}))) as _b1",
     ]
-    sets = _lines(own).selectExpr("_doc", "_ln", "xxhash64(_l) as _h", f"array_distinct(sort_array(transform({_words('_l')}, x -> {token}))) as _t")
+    sets = _lines(own).selectExpr("_doc", "_ln", "xxhash64(_l) as _h", f"array_distinct(sort_array(transform(transform({_WORDS}, x -> xxhash64(x)), h -> {token}))) as _t")
     return sets.selectExpr("_doc", "_ln", "_h", "size(_t) as _n", "xxhash64(_t) as _s1", "xxhash64(_t, 1) as _s2", *parity, "slice(_t, 1, size(_t) - (4 * size(_t) + 4) div 5 + 1) as _p")
 
 
 def _words_of(own: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
-    """_doc, _ln and the distinct words _w of the wanted lines; only lines that may be wanted are moved."""
-    wanted = wanted.distinct()
+    """_doc, _ln, the distinct words of the wanted lines, as one string _w with blanks between, and their number _m; only lines that may be wanted are moved."""
     some = _lines(own.where(maybe_among(wanted, bits, "_doc")("_doc"))).where(maybe_among(wanted, bits, "_doc", "_ln")("_doc", "_ln"))
-    return some.join(wanted, ["_doc", "_ln"], "left_semi").dropDuplicates(["_doc", "_ln"]).selectExpr("_doc", "_ln", f"array_distinct({_words('_l')}) as _w")
+    return some.join(wanted, ["_doc", "_ln"], "left_semi").dropDuplicates(["_doc", "_ln"]).selectExpr("_doc", "_ln", f"array_distinct({_WORDS}) as _w").selectExpr("_doc", "_ln", "array_join(_w, ' ') as _w", "size(_w) as _m")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -108,18 +107,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     best = tried.groupBy("_doc", "_ln").agg(F.min("_o").alias("_o")).selectExpr("_doc", "_ln", "_o._doc as _fd", "_o._ln as _fl")
     pairs = stored(best.union(same.where("not _sure").select("_doc", "_ln", "_fd", "_fl")), "pairs")
     ids = lambda df, *names: df.select(*names).toDF("_doc", "_ln")
-    wanted = ids(part, "_doc", "_ln").union(ids(near, "_doc", "_ln")).union(ids(pairs, "_doc", "_ln")).union(ids(pairs, "_fd", "_fl"))
+    wanted = stored(ids(part, "_doc", "_ln").union(ids(near, "_doc", "_ln")).union(ids(pairs, "_doc", "_ln")).union(ids(pairs, "_fd", "_fl")).distinct(), "wanted")
     texts = stored(_words_of(own, wanted, filter_bits), "words")
-    a = pairs.join(texts, ["_doc", "_ln"]).select("_fd", "_fl", F.struct("_doc", "_ln", "_w").alias("a"))
-    b = a.join(texts.selectExpr("_doc as _fd", "_ln as _fl", "struct(_w) as b"), ["_fd", "_fl"])
+    a = pairs.join(texts, ["_doc", "_ln"]).select("_fd", "_fl", F.struct("_doc", "_ln", "_w", "_m").alias("a"))
+    b = a.join(texts.selectExpr("_doc as _fd", "_ln as _fl", "struct(_w, _m) as b"), ["_fd", "_fl"])
     settled = stored(b.where(_EXACT).select("a._doc", "a._ln").union(same.where("_sure").select("_doc", "_ln")).distinct(), "settled")
 
     # The others meet all earlier lines that pass the filters, in a semi join on whole sets that ends at the first repeat.
     open_ = stored(part.join(settled, ["_doc", "_ln"], "left_anti").join(texts, ["_doc", "_ln"]), "open")
-    rest = near.where(maybe_among(open_, filter_bits, "_tok")("_tok")).alias("b").join(open_.drop("_w").alias("a"), F.expr(_SIMILAR), "left_semi").join(texts, ["_doc", "_ln"])
+    rest = near.where(maybe_among(open_, filter_bits, "_tok")("_tok")).alias("b").join(open_.drop("_w", "_m").alias("a"), F.expr(_SIMILAR), "left_semi").join(texts, ["_doc", "_ln"])
     similar = open_.alias("a").join(rest.alias("b"), F.expr(f"{_SIMILAR} and {_EXACT}"), "left_semi").select("_doc", "_ln").distinct()
     out = stored(similar.union(settled), "repeated")
-    for df in (sets, same, part, near, pairs, texts, settled, open_):
+    for df in (sets, same, part, near, pairs, wanted, texts, settled, open_):
         dropped(df)
     return out
 

@@ -214,6 +214,16 @@ def test_line_dedup_against_brute_force(spark):
     assert got[len(texts) - 1]._n_lines == texts[0].count("\n") + 1 and got[0].kept is True
 
 
+def test_line_dedup_tells_rarity_finely_and_moves_words_as_one_string(spark):
+    """Words of counts within one power of two have different classes; the words of a line travel as one string."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200) for _ in range(4 + i % 4)) + "\nTwo\twords  two")], "_doc long, _text string")
+    classes = lines._rarity(docs)
+    at = [r.b for r in spark.range(200).selectExpr(f"cast(xxhash64(concat('w', id)) & {lines.RARITY_BUCKETS - 1} as int) as b").collect()]
+    assert classes[at[0]] < classes[at[3]] and -32 <= min(classes) and max(classes) <= 31
+    got = lines._words_of(docs, spark.createDataFrame([(1, 1)], "_doc long, _ln int"), 1 << 10).collect()
+    assert [(r._w, r._m) for r in got] == [("two words", 2)]
+
+
 def test_line_dedup_beside_columns_of_its_own_names(spark):
     rows = [(1, "a b c d\nx", 5, "k", [9], True, 7), (2, "y\nd c b a", 6, None, None, False, 8), (None, "a b c d", 7, "z", [1], None, 9)]
     docs = spark.createDataFrame(rows, "`doc id` long, text string, _doc int, `_ln.x` string, _Removed array<int>, _emptied boolean, _gone int")
