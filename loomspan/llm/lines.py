@@ -28,22 +28,23 @@ TRIED = 16
 ONE_LONG = 100
 
 _BLANKS = r"'[\\t\\r\\f\\x0B]'"
+_HAS_BLANKS = " or ".join(f"contains(_text, char({c}))" for c in (9, 13, 12, 11))
 _WORDS = "array_remove(split(_l, ' '), '')"
 #: A bound on the words that differ, by parities that do; a set of two longs is folded to meet one of one.
 _FOLDED = "bit_count(a._b0 ^ a._b1 ^ b._b0 ^ b._b1)"
 _APART = f"if(a._n <= {ONE_LONG} or b._n <= {ONE_LONG}, {_FOLDED}, bit_count(a._b0 ^ b._b0) + bit_count(a._b1 ^ b._b1))"
 #: Similar sets differ in a ninth of their summed sizes at most. The rarest common word has no more than these before it.
-_SIMILAR = f"""a._tok = b._tok and 9 * {_FOLDED} <= a._n + b._n and (a._doc > b._doc or (a._doc = b._doc and a._ln > b._ln))
+_MEET = f"""a._tok = b._tok and 9 * {_FOLDED} <= a._n + b._n and (a._ln <> b._ln or a._doc <> b._doc)
   and 5 * least(a._n, b._n) >= 4 * greatest(a._n, b._n) and 9 * (a._pos + b._pos) <= a._n + b._n
   and 9 * least(a._n - a._pos, b._n - b._pos) >= 4 * (a._n + b._n) and 9 * {_APART} <= a._n + b._n"""
-#: Sizes within a fourth of each other are in the same band or in neighbouring ones.
-_BAND = "cast(floor(ln(_n) * 4.48D) as int)"
+#: The same, and b is earlier.
+_SIMILAR = f"{_MEET} and (a._doc > b._doc or (a._doc = b._doc and a._ln > b._ln))"
 _EXACT = "9 * size(array_intersect(split(a._w, ' '), split(b._w, ' '))) >= 4 * (a._m + b._m)"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Lines that are not empty, in lower case and with plain blanks; the whole text is turned at once, which costs less than by lines."""
-    text = f"lower(if(_text rlike {_BLANKS}, regexp_replace(_text, {_BLANKS}, ' '), _text)) as _text"
+    text = f"lower(if({_HAS_BLANKS}, regexp_replace(_text, {_BLANKS}, ' '), _text)) as _text"
     return docs.selectExpr("_doc", text).selectExpr("_doc", r"posexplode(split(_text, '\n')) as (_ln, _l)").where("_l <> ''")
 
 
@@ -95,11 +96,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = stored(same.selectExpr("_doc", "_ln", "_fd", "_fl", "_h = _fh as _sure"), "same")
     dropped(table)
 
-    # Lines for which an earlier one passes all filters, and the earlier lines that pass for one of them.
+    # All words meet once, whichever line is earlier; of the few that pass the filters with any other line, those with an
+    # earlier one that passes, and the earlier ones.
     words = sets.where(f"_n >= {LEAST_UNEQUAL}").selectExpr("_doc", "_ln", "_n", "_b0", "_b1", "posexplode(_p) as (_pos, _tok)")
-    part = stored(words.alias("a").join(words.alias("b"), F.expr(_SIMILAR), "left_semi"), "candidates")
-    bands = part.selectExpr("_tok", f"explode(array({_BAND} - 1, {_BAND}, {_BAND} + 1)) as _band").distinct()
-    near = stored(words.where(maybe_among(bands, filter_bits, "_tok", "_band")("_tok", F.expr(_BAND))).alias("b").join(part.alias("a"), F.expr(_SIMILAR), "left_semi"), "near")
+    met = stored(words.alias("a").join(words.alias("b"), F.expr(_MEET), "left_semi"), "met")
+    part = stored(met.alias("a").join(met.alias("b"), F.expr(_SIMILAR), "left_semi"), "candidates")
+    near = stored(met.alias("b").join(part.alias("a"), F.expr(_SIMILAR), "left_semi"), "near")
+    dropped(met)
 
     # The likeliest of the first few earlier lines of its words is tried for each line; nearly all repeats show there.
     few = near.withColumn("_r", F.expr("row_number() over (partition by _tok order by _doc, _ln)")).where(f"_r <= {TRIED}")
@@ -136,7 +139,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = gone.groupBy(F.col("_doc").alias("_gone")).agg(F.sort_array(F.collect_set("_ln")).alias("_removed"))
     names = [c for c in docs.columns if c.lower() not in ("_n_lines", "_removed", "_emptied")]
     # The row travels as one struct, so its names meet none of ours.
-    rows = docs.select(F.col(quoted(id_col)).alias("_doc"), F.col(quoted(text_col)).alias("_text"), F.struct(*(F.col(quoted(c)) for c in names)).alias("_row"))
+    rows = docs.select(F.col(quoted(id_col)).alias("_doc"), F.col(quoted(text_col)).alias("_text"), F.struct(*(F.col(quoted(c)) for c in names if c.lower() != text_col.lower())).alias("_row"))
     hit = F.coalesce(maybe_among(gone, filter_bits, "_doc")("_doc"), F.lit(False))
     none = F.expr("cast(array() as array<int>)")
     left = rows.where(hit).join(lists, F.col("_doc") == F.col("_gone"), "left").select("_text", "_row", F.coalesce("_removed", none).alias("_removed"))

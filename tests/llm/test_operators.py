@@ -232,6 +232,23 @@ def test_line_dedup_beside_columns_of_its_own_names(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "a b c d\nx", 5, "k", 7, 2, [], False), (2, "y", 6, None, 8, 2, [1], False), (None, "a b c d", 7, "z", 9, 1, [], False)], key=repr)
 
 
+def test_line_dedup_moves_all_words_once_and_texts_once(spark, monkeypatch):
+    """Only one join reads the rarest words of all lines; later ones read the few that met. No text travels twice."""
+    plans = {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return common.stored(df, name)
+
+    monkeypatch.setattr(lines, "stored", seen)
+    line, other = words(random.Random(12), 20, 900), words(random.Random(13), 9, 900)
+    out = lines.line_dedup(table(spark, [line, f"{line} extra", f"{other}\n{other} x", None]))
+    assert [list(r._removed) for r in out.sort("doc_id").collect()] == [[], [0], [1], []]
+    assert [name for name, plan in plans.items() if "posexplode(_p" in plan] == ["met"]
+    rows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "AS _row" in x]
+    assert rows and all("text" not in x[x.index("struct(") : x.index("AS _row")] for x in rows)
+
+
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_line_dedup_of_short_lines_against_brute_force(spark, least):
     rng = random.Random(10)
